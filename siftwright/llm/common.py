@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: One temporary folder per application, for sessions whose cluster names no shared folder.
@@ -54,3 +56,33 @@ def parallelism(spark: SparkSession) -> int:
 def crc_of(col: str) -> Column:
     """crc32 of an id written as text: the folds of the operators that learn hang on it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[Iterable[str | None]], list[pa.Array]]], fields: str) -> DataFrame:
+    """doc_id and what each text gives, without a shuffle.
+
+    ``make()`` runs once a task; what it returns takes the texts of a batch and returns a column
+    for each of ``fields``. Ids pass through Arrow untouched, whatever their type, nulls included.
+    """
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {fields}"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            columns = work(value.as_py() for value in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text a task's predicate accepts; all columns stay as they are."""
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array([keep(value.as_py()) for value in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
