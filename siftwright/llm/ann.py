@@ -163,6 +163,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, window: float = WINDOW
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = seen.select("curve", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))  # a row per task and curve
     line = placed.join(F.broadcast(offsets), ["curve", "part"]).withColumn("place", F.col("place") + F.col("before"))
+    line = stored(line.drop("before"), "line")
 
     reach, last = max(1, int(np.ceil(window * total / 2))), max(0, (total - 1) // BLOCK)
     chunks = max(1, -(-int(queries * min(1.0, window + 2 * BLOCK / max(1, total))) // QUERIES))

@@ -324,7 +324,7 @@ pairs AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.h = b.h AND a.n
 edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT node AS a, node AS b FROM g UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 c AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
-SELECT sets.doc_id, len(s) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, sets.doc_id = coalesce(component_id, sets.doc_id) AS kept
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, sets.doc_id = coalesce(component_id, sets.doc_id) AS kept
 FROM sets LEFT JOIN g ON len(sets.s) > 0 AND g.c = md5(array_to_string(list_sort(sets.s), chr(10)) || len(sets.s)) LEFT JOIN c USING (node)"""
 
 

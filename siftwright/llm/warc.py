@@ -119,7 +119,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, level:
                     if out is not None:
                         out.close()
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out = system.open_output_stream(f"{root}/{name}")
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                     done.append([f"{folder}/{name}", 0, 0])
                 if row.chunk_no == 0:
                     gz, member = zlib.compressobj(level, zlib.DEFLATED, 31), done[-1][2]
