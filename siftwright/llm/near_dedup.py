@@ -32,6 +32,9 @@ BANDS = REGISTERS // BAND
 #: An estimate of a link's similarity is below its threshold by more than this in fewer than one
 #: case in a million (its deviation is about 0.035).
 SLACK = 0.18
+#: Pairs with fewer equal registers are let go without an estimate: a link has so few in fewer than
+#: one case in ten thousand million, however the sets' sizes differ.
+EQUAL_SLACK = 0.28
 #: Rounds with pivots before the rest of a band is compared, and classes of a block in that.
 ROUNDS, BLOCK = 3, 256
 _TOP = (1 << 16) - 1
@@ -64,19 +67,21 @@ def shingles_of(text: str | None, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(SEED).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
-    return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
+    draw = np.random.default_rng(SEED).integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint32)
+    return draw[0] | np.uint32(1), draw[1]
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """Registers of a set of one or more hashes."""
+    """Registers of a set of one or more hashes; their upper halves are permuted, which numpy does
+    in vector registers."""
     a, b = permutations()
-    least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(hashes), 512):
-        values = a[:, None] * hashes[None, at : at + 512] + b[:, None]
-        least = np.minimum(least, values.min(1))
-    exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
-    exponential = np.maximum(exponential, 2.0**-66)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(REGISTERS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(upper), 1024):
+        values = a[:, None] * upper[None, at : at + 1024]
+        values += b[:, None]
+        np.minimum(least, values.min(1), out=least)
+    exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32)
     return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, _TOP).astype(np.uint16)
 
 
@@ -99,6 +104,17 @@ def estimated(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarr
     return j[np.arange(len(j)), fit.argmax(1)]
 
 
+def hopeful(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs may have a similarity of ``least``: cheap counts of equal registers first, the
+    estimate for what they leave."""
+    out = (x == y).sum(1) >= (least - EQUAL_SLACK) * REGISTERS
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), 1024):
+        part = at[k : k + 1024]
+        out[part] = estimated(x[part], y[part], size_x[part], size_y[part]) >= least - SLACK
+    return out
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (of the set; null if empty), sketch, for each row."""
 
@@ -134,10 +150,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                near = estimated(_registers(part.column(2)), _registers(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy()) >= least - SLACK
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
+            near = hopeful(_registers(batch.column(2)), _registers(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -206,7 +220,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
 
     met = bands.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     near = cut(plausible(met, classes, least))
-    texts = None
+    texts = _texts(docs, classes, bands.select("node").distinct(), width)
     edges = labels = None
     for turn in range(ROUNDS + 1):
         if turn:
@@ -220,8 +234,6 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
                 near = cut(_between(rest, classes, least))
             if near.isEmpty():
                 break
-        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        texts = _texts(docs, classes, wanted, texts, width)
         found = cut(verified(near, texts, width, percent))
         if turn and found.isEmpty() and turn == ROUNDS:
             break
@@ -230,13 +242,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     return rows.select("doc_id", "n_shingles", F.col("digest").alias("node")), labels
 
 
-def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
-    """(node, text) of the wanted classes, stored; those that ``have`` holds are not read again."""
-    if have is not None:
-        fresh = wanted.join(have.select("node"), "node", "left_anti")
-        if fresh.isEmpty():
-            return have
-        wanted = fresh
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, text) of the wanted classes, stored: one pass over the texts for all rounds."""
     first = classes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
     base = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     joined = base.join(first, "doc_id").select("node", "text")
@@ -250,8 +257,7 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, have: DataFra
                 keep.append(len(s) > 0 and int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) == node.as_py())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    out = stored(joined.mapInArrow(right, "node long, text string"), "texts")
-    return out if have is None else have.unionByName(out)
+    return stored(joined.mapInArrow(right, "node long, text string"), "texts")
 
 
 def _between(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -278,7 +284,7 @@ def _between(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             cand = cand[np.minimum(n[cand], n[i]) >= (least - SLACK) * np.maximum(n[cand], n[i])]
             if not len(cand):
                 continue
-            near = cand[estimated(np.broadcast_to(reg[i], (len(cand), REGISTERS)), reg[cand], np.full(len(cand), n[i]), n[cand]) >= least - SLACK]
+            near = cand[hopeful(np.broadcast_to(reg[i], (len(cand), REGISTERS)), reg[cand], np.full(len(cand), n[i]), n[cand], least)]
             out_a.append(np.minimum(node[near], node[i]))
             out_b.append(np.maximum(node[near], node[i]))
         empty = np.zeros(0, dtype=np.int64)
