@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwright.llm.common import shared_dir, stored, table
+from siftwright.llm.common import parallelism, shared_dir, stored, table
 
 #: Bytes of a chunk, of what is read at once, and of an archive before the next one begins.
 CHUNK, READ, ARCHIVE = 1 << 16, 1 << 16, 1 << 30
@@ -232,7 +232,7 @@ def read_chunks(manifest: DataFrame, payload: bool = True, kind: str = "bigint")
                             rows, size = [], 0
                 yield frame(rows)
 
-    spread = manifest.select("path").repartition("path")
+    spread = manifest.select("path").repartition(parallelism(manifest.sparkSession), "path")  # a number, or the few names would gather in one task
     return spread.mapInPandas(run, schema)
 
 
