@@ -224,7 +224,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     edges = labels = None
     for turn in range(ROUNDS + 1):
         if turn:
-            rest = _open(bands.select("key", "node"), labels)
+            rest = cut(_open(bands.select("key", "node"), labels))
+            if rest.isEmpty():
+                break
             if turn < ROUNDS:
                 order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("node"), F.col("component"))
                 pivots = rest.groupBy("key").agg(F.min(order("node")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.component").alias("of"))
@@ -233,7 +235,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
             else:
                 near = cut(_between(rest, classes, least))
             if near.isEmpty():
-                break
+                continue  # other pivots, and at last the pairs that are left, may still link
         found = cut(verified(near, texts, width, percent))
         if turn and found.isEmpty() and turn == ROUNDS:
             break

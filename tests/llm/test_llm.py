@@ -137,3 +137,21 @@ def test_fingerprints():
     f = edit_fingerprint.fingerprint
     assert f(a) == f(a) and edit_fingerprint.likeness(f(a), f(a)) == 1
     assert edit_fingerprint.likeness(f(a), f(a[:300] + "!" + a[301:])) > edit_fingerprint.likeness(f(a), f("zebra 12345 " * 70))
+
+
+def groups_of(rows):
+    """The ids of each component of two or more ids."""
+    out = {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            out.setdefault(r["component_id"], set()).add(r["doc_id"])
+    return sorted(sorted(ids) for ids in out.values() if len(ids) > 1)
+
+
+def test_pair_that_never_meets_its_pivot(spark, monkeypatch):
+    """One band of unlike documents and one pair: no pivot of the first rounds is in the pair."""
+    monkeypatch.setattr(near_dedup, "banded", lambda classes: classes.select("node", F.lit(1).cast("long").alias("key")))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(40)]
+    docs = docs_of(spark, [*texts, texts[7] + " more"])
+    assert groups_of(near_dedup.near_duplicates(docs).collect()) == [[7, 40]]
