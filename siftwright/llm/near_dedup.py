@@ -65,6 +65,11 @@ def shingles_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
+def _digest(hashes: np.ndarray) -> int | None:
+    """Names a set of hashes; null if it is empty."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True) if len(hashes) else None
+
+
 @lru_cache(maxsize=1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED).integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint32)
@@ -124,7 +129,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             for text in texts:
                 s = shingles_of(text, width)
                 sizes.append(len(s))
-                digests.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None)
+                digests.append(_digest(s))
                 sketches.append(sketch_of(s).astype(">u2").tobytes() if len(s) else None)
             return [pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary())]
 
@@ -213,7 +218,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     """
     least = percent / 100
     rows = stored(sketched(docs, width), "sketches")
-    classes = stored(rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.sketch"), "classes")
+    classes = stored(rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.sketch"), "classes")
     bands = banded(classes)
     counts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1")
     bands = cut(bands.join(counts, "key").select("key", "node", "a"))
@@ -245,7 +250,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, text) of the wanted classes, stored: one pass over the texts for all rounds."""
+    """(node, text) of the wanted classes, stored: one pass over the texts for all rounds. Classes
+    of which no row has an id are found by their sets' digests."""
     first = classes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
     base = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     joined = base.join(first, "doc_id").select("node", "text")
@@ -255,11 +261,17 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -
         for batch in batches:
             keep = []
             for node, text in zip(batch.column(0), batch.column(1)):
-                s = shingles_of(text.as_py(), width)
-                keep.append(len(s) > 0 and int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) == node.as_py())
+                keep.append(_digest(shingles_of(text.as_py(), width)) == node.as_py())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return stored(joined.mapInArrow(right, "node long, text string"), "texts")
+    def named(batches):
+        for batch in batches:
+            nodes = [_digest(shingles_of(text.as_py(), width)) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "text"])
+
+    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(named, "node long, text string")
+    others = nameless.join(first.filter("doc_id IS NULL").select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return stored(joined.mapInArrow(right, "node long, text string").unionByName(others), "texts")
 
 
 def _between(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:

@@ -155,3 +155,13 @@ def test_pair_that_never_meets_its_pivot(spark, monkeypatch):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(40)]
     docs = docs_of(spark, [*texts, texts[7] + " more"])
     assert groups_of(near_dedup.near_duplicates(docs).collect()) == [[7, 40]]
+
+
+def test_links_over_rows_without_id(spark):
+    """A set whose rows have an id or none, or none at all, links its neighbours."""
+    w = [f"w{i}" for i in range(100)]
+    x, y, z = w[10:], w, w[:-12]
+    u = [f"u{i}" for i in range(100)]
+    rows = [(None, x), (3, x), (None, y), (None, y), (4, z), (None, u), (5, u), (6, u[3:])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert groups_of(near_dedup.near_duplicates(docs).collect()) == [[3, 4], [5, 6]]
