@@ -23,9 +23,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
-    dropped = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """One row of each group of near duplicates: shingles of five words, similarity 0.8.
+
+    It is the row with the smallest doc_id, a null one last. Rows are told apart by numbers of
+    their own, stored with them, so rows that repeat an id, or have none, are kept or dropped each
+    for itself.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    dropped = near_dedup.near_duplicates(rows.select(own.alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

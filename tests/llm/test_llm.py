@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftwright.llm import ann, bpe, chat_format, edit_fingerprint, language_id, near_dedup, packing, quality, queries, secret_scan, trigrams, warc
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -165,3 +166,14 @@ def test_links_over_rows_without_id(spark):
     rows = [(None, x), (3, x), (None, y), (None, y), (4, z), (None, u), (5, u), (6, u[3:])]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     assert groups_of(near_dedup.near_duplicates(docs).collect()) == [[3, 4], [5, 6]]
+
+
+def test_dedup_stage_keeps_rows(spark):
+    """Of rows that repeat an id or have none, each is kept or dropped for itself."""
+    texts = {n: " ".join(f"{n}{i}" for i in range(100)) for n in "abcd"}
+    rows = [(1, texts["a"]), (2, texts["a"] + " more"), (2, texts["b"]), (None, texts["a"]), (None, texts["c"]), (None, texts["c"]), (3, texts["d"]), (3, texts["d"]), (None, None), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.dedup_stage(spark, docs, SMALL)
+    order = lambda r: str(tuple(r))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=order) == sorted([rows[0], rows[2], rows[4], rows[6], *rows[8:]], key=order)
