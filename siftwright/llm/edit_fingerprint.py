@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siftwright.llm.common import map_texts, parallelism, stored, table
+from siftwright.llm.common import cut, map_texts, parallelism, stored, table
+from siftwright.llm.near_dedup import ROUNDS, components, open_bands, pivoted
 
 #: Digits of each of the two blocks; the bits of the walk repeat after PERIOD steps.
 DIGITS, PERIOD, SEED = 256, 4096, 11
@@ -30,6 +31,8 @@ DIGITS, PERIOD, SEED = 256, 4096, 11
 CLASSES = 64
 #: Digits of a band.
 BAND = 8
+#: Texts of a block where the rest of a band is compared.
+BLOCK = 128
 _HASH = np.uint32(2654435761)
 
 
@@ -225,9 +228,12 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Links (a, b, similarity) between documents within edit similarity ``least``: one less the
     edit distance over the longer length.
 
-    Texts that share the digits of some band, in either block, meet; each is verified against the
-    smallest id of its band, so a large group yields as many pairs as members for each of its
-    bands and not all pairs. Equal texts are collapsed to the smallest id beforehand, which is
+    Texts that share the digits of some band, in either block, are candidates. Each is verified
+    against the smallest id of its band; rounds with other pivots go over the bands that still
+    hold several components, and at last the members of different components that are left in a
+    band are compared, block against block. So a large group yields as many pairs as members for
+    each of its bands and not all pairs, but its components are those of all links among
+    candidates. Equal texts are collapsed to the smallest id beforehand, which is
     linked to each copy. Empty texts, null ids and texts are linked with nothing.
     """
     base = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND length(text) > 0")
@@ -241,23 +247,85 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     bands = blocks.select("doc_id", "x.exponent", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(DIGITS // BAND - 1)), lambda i: F.substring(F.col("x.digits"), i * BAND + 1, F.lit(BAND)))).alias("band", "digits"))
     bands = bands.filter(~F.contains("digits", F.lit("."))).select("doc_id", F.xxhash64("exponent", "band", "digits").alias("key"))
     least_ids = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    met = bands.join(least_ids, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    bands = cut(bands.join(least_ids, "key").select("key", F.col("doc_id").alias("node"), "a"))
+    kind = dict(docs.dtypes)["doc_id"]
     texts = lambda name: one.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
-    joined = met.join(texts("b"), "b").join(texts("a"), "a")
 
     def verify(batches):
         for batch in batches:
-            similar = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = x.as_py(), y.as_py()
-                longer = max(len(s), len(t))
-                apart = abs(len(s) - len(t)) > (1 - least) * longer
-                similar.append(0.0 if apart else 1 - edit_distance(s, t) / longer)
+            similar = [similarity(x.as_py(), y.as_py(), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    found = joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
-    return found.filter(F.col("similarity") >= least).unionByName(copies)
+    met = bands.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    found = labels = None
+    for turn in range(ROUNDS + 1):
+        if turn:
+            rest = cut(open_bands(bands.select("key", "node"), labels))
+            if rest.isEmpty():
+                break
+            met = pivoted(rest, turn)
+        if turn < ROUNDS:
+            joined = met.join(texts("b"), "b").join(texts("a"), "a").select("a", "b", "text_a", "text_b")
+            linked = joined.mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
+        else:
+            linked = _between(rest, one, kind, least)
+        linked = cut(linked.filter(F.col("similarity") >= least))
+        found = linked if found is None else found.unionByName(linked)
+        if turn < ROUNDS:
+            labels = components(found)
+    return found.unionByName(copies)
+
+
+def similarity(s: str, t: str, least: float) -> float:
+    """One less the edit distance over the longer length; 0 if the lengths, or the characters'
+    counts, leave it below ``least``."""
+    longer = max(len(s), len(t))
+    if 1 - abs(len(s) - len(t)) / longer < least or 1 - bag_distance(bag_of(s), bag_of(t)) / longer < least:
+        return 0.0
+    return 1 - edit_distance(s, t) / longer
+
+
+def bag_of(text: str) -> np.ndarray:
+    """Counts of a text's characters by class."""
+    return np.bincount((codes_of(text) * _HASH) >> np.uint32(26), minlength=CLASSES)
+
+
+def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: an edit adds one character, removes one, or both."""
+    more = a - b
+    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
+
+
+def _between(rest: DataFrame, one: DataFrame, kind: str, least: float) -> DataFrame:
+    """Links between members of different components of a band, ``rest(key, node, component)``.
+
+    Members of a band fall into blocks of about BLOCK; a group is a pair of blocks. A pair is
+    compared in the first band that it shares, and only links leave the task.
+    """
+    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    dealt = placed.withColumn("pair", F.explode(others)).select("key", "pair.low", "pair.high", "block", "node", "component")
+    dealt = dealt.join(keys, "node").join(one.select(F.col("doc_id").alias("node"), "text"), "node").select("key", "low", "high", "block", "node", "component", "keys", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        key, low, high = (group.column(i)[0].as_py() for i in range(3))
+        block, node, part, keys, texts = (group.column(i).to_pylist() for i in range(3, 8))
+        keys = [set(k) for k in keys]
+        out = []
+        for i in (i for i in range(len(node)) if block[i] == low):
+            for j in (j for j in range(len(node)) if block[j] == high):
+                if part[i] == part[j] or (low == high and node[i] >= node[j]) or min(keys[i] & keys[j]) != key:
+                    continue
+                near = similarity(texts[i], texts[j], least)
+                if near >= least:
+                    out.append((*sorted((node[i], node[j])), near))
+        a, b, near = zip(*out) if out else ((), (), ())
+        ids = group.schema.field("node").type
+        return pa.table({"a": pa.array(a, ids), "b": pa.array(b, ids), "similarity": pa.array(near, pa.float64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,13 +205,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(bands: DataFrame, labels: DataFrame) -> DataFrame:
+def open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, component) of the bands that hold several components."""
     known = bands.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high AND n > 2")
     return known.join(several.select("key"), "key", "left_semi")
 
 
+def pivoted(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each band's pivot of this turn with the members of other components."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("component"))
+    pivots = rest.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.component").alias("of"))
+    return rest.join(pivots, "key").filter("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): ``rows(doc_id, n_shingles, node)`` for each row of ``docs`` and
     ``labels(node, component)`` for classes that are linked; node is a class of equal sets.
@@ -229,13 +236,11 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     edges = labels = None
     for turn in range(ROUNDS + 1):
         if turn:
-            rest = cut(_open(bands.select("key", "node"), labels))
+            rest = cut(open_bands(bands.select("key", "node"), labels))
             if rest.isEmpty():
                 break
             if turn < ROUNDS:
-                order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("node"), F.col("component"))
-                pivots = rest.groupBy("key").agg(F.min(order("node")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.component").alias("of"))
-                met = rest.join(pivots, "key").filter("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+                met = pivoted(rest, turn)
                 near = cut(plausible(met, classes, least))
             else:
                 near = cut(_between(rest, classes, least))

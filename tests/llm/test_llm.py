@@ -177,3 +177,24 @@ def test_dedup_stage_keeps_rows(spark):
     order = lambda r: str(tuple(r))
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=order) == sorted([rows[0], rows[2], rows[4], rows[6], *rows[8:]], key=order)
+
+
+def test_near_pairs(spark):
+    """Groups of links against brute force: a common opening (a hot band), pairs of which only the
+    opening is alike band by band, and links at the threshold."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    opening = letters(120)
+    texts = [opening + letters(280) for _ in range(20)]
+    for i in (11, 14, 17):
+        tail = list(texts[i])
+        for at in rng.choice(np.arange(120, 400), 70, replace=False):
+            tail[at] = "#"
+        texts.append("".join(tail))
+    texts += [texts[8] + letters(100), texts[9] + letters(101), "abcde", "abcd", None, "", texts[3]]
+    near = edit_fingerprint.edit_distance
+    some = [i for i, t in enumerate(texts) if t and len(t) > 9]
+    brute = {(a, b) for a, b in combinations(some, 2) if 1 - near(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) >= 0.8}
+    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(docs_of(spark, texts)).collect() if r["a"] in some}
+    assert got == brute == {(11, 20), (14, 21), (17, 22), (8, 23), (3, 29)} | {p for p in brute if 24 in p}
+    assert edit_fingerprint.similarity("abcde", "abcd", 0.8) == 0.8
