@@ -163,36 +163,42 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, window: float = WINDOW
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = seen.select("curve", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))  # a row per task and curve
     line = placed.join(F.broadcast(offsets), ["curve", "part"]).withColumn("place", F.col("place") + F.col("before"))
-    line = stored(line.drop("before"), "line")
+    firsts = points.select("point", F.col("members")[0].cast("long").alias("first"))
+    line = stored(line.drop("before").join(firsts, "point"), "line")
 
     reach, last = max(1, int(np.ceil(window * total / 2))), max(0, (total - 1) // BLOCK)
     chunks = max(1, -(-int(queries * min(1.0, window + 2 * BLOCK / max(1, total))) // QUERIES))
     block = lambda place: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(place / BLOCK)))
-    data = line.filter("NOT query").select("curve", block(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "point", "vector")
+    data = line.filter("NOT query").select("curve", block(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "point", "first", "vector")
     wide = F.sequence(block(F.col("place") - reach), block(F.col("place") + reach - 1))
     ask = line.filter("query").select("curve", F.explode(wide).alias("block"), F.pmod(F.xxhash64("point"), F.lit(chunks)).cast("int").alias("chunk"), "point", "vector")
 
     def compare(mine: pa.Table, asking: pa.Table) -> pa.Table:
-        out = {"query": [], "point": [], "score": []}
+        out = {"query": [], "point": [], "first": [], "score": []}
         if mine.num_rows and asking.num_rows:
-            ids, near = mine.column("point").to_numpy(), _vectors(mine.column("vector"))
+            ids, first, near = mine.column("point").to_numpy(), mine.column("first").to_numpy(), _vectors(mine.column("vector"))
+            longest = np.linalg.norm(near, axis=1).max()
             for at in range(0, asking.num_rows, 256):
                 part = asking.slice(at, 256)
-                scores = _vectors(part.column("vector")) @ near.T
+                asked = _vectors(part.column("vector"))
+                scores = asked @ near.T
                 keep = min(k + 1, len(ids))
-                for q, row in zip(part.column("point").to_pylist(), scores):
+                for q, vector, row in zip(part.column("point").to_pylist(), asked, scores):
                     least = np.partition(row, len(row) - keep)[len(row) - keep]
-                    top = np.flatnonzero(row >= least)
-                    out["query"].append(np.full(len(top), q))
-                    out["point"].append(ids[top])
-                    out["score"].append(row[top])
+                    top = np.flatnonzero(row >= least - 1e-9 * np.linalg.norm(vector) * longest)
+                    exact = np.cumsum(near[top] * vector, axis=1)[:, -1]  # in the order of the components
+                    order = np.lexsort((first[top], -exact))[:keep]
+                    out["query"].append(np.full(len(order), q))
+                    out["point"].append(ids[top[order]])
+                    out["first"].append(first[top[order]])
+                    out["score"].append(exact[order])
         empty = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        return pa.table({"query": np.concatenate(empty[0] + out["query"]), "point": np.concatenate(empty[0] + out["point"]), "score": np.concatenate(empty[1] + out["score"])})
+        return pa.table({"query": np.concatenate(empty[0] + out["query"]), "point": np.concatenate(empty[0] + out["point"]), "first": np.concatenate(empty[0] + out["first"]), "score": np.concatenate(empty[1] + out["score"])})
 
-    found = data.groupBy("curve", "block", "chunk").cogroup(ask.groupBy("curve", "block", "chunk")).applyInArrow(compare, "query long, point long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
-    merged = found.repartition(parts, "query").groupBy("query", "point").agg(F.max("score").alias("score"))
-    short = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 6).select("query", "point")
+    found = data.groupBy("curve", "block", "chunk").cogroup(ask.groupBy("curve", "block", "chunk")).applyInArrow(compare, "query long, point long, first long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    merged = found.repartition(parts, "query").groupBy("query", "point").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+    short = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("query", "point")
 
     # the scores that are returned come from one expression, whatever block or curve found a pair
     left = points.select(F.col("point").alias("query"), F.col("embedding").alias("q"))

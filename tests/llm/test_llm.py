@@ -198,3 +198,11 @@ def test_near_pairs(spark):
     got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(docs_of(spark, texts)).collect() if r["a"] in some}
     assert got == brute == {(11, 20), (14, 21), (17, 22), (8, 23), (3, 29)} | {p for p in brute if 24 in p}
     assert edit_fingerprint.similarity("abcde", "abcd", 0.8) == 0.8
+
+
+def test_near_neighbours_ties(spark):
+    """More vectors tie at the cut than the short list holds: the smaller ids come first."""
+    rows = [(i, [1.0 if i % 60 == d else 0.0 for d in range(60)] + [1.0]) for i in range(60)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=30, window=1.0).collect()
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 30)}
+    assert got == {0: [1, 2, 3, 4, 5], 30: [0, 1, 2, 3, 4]}
