@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -86,3 +87,25 @@ def keep_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]]
             yield batch.filter(pa.array([keep(value.as_py()) for value in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs: rows that are equal in their first ``keys`` columns (integers, none
+    null) and stand together stay together. A run is held until the next one begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        if held and any(held[-1].column(i)[-1].as_py() != columns[0, i] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1
+        if len(starts):
+            last = int(starts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftwright.llm.common import cut, map_texts, parallelism, stored, table
-from siftwright.llm.near_dedup import ROUNDS, components, open_bands, pivoted
+from siftwright.llm.near_dedup import components
 
 #: Digits of each of the two blocks; the bits of the walk repeat after PERIOD steps.
 DIGITS, PERIOD, SEED = 256, 4096, 11
@@ -31,8 +31,8 @@ DIGITS, PERIOD, SEED = 256, 4096, 11
 CLASSES = 64
 #: Digits of a band.
 BAND = 8
-#: Texts of a block where the rest of a band is compared.
-BLOCK = 128
+#: Rounds with pivots before the rest of a band is compared, and texts of a block in that.
+ROUNDS, BLOCK = 3, 128
 _HASH = np.uint32(2654435761)
 
 
@@ -224,6 +224,20 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component) of the bands that hold several components."""
+    known = bands.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high AND n > 2")
+    return known.join(several.select("key"), "key", "left_semi")
+
+
+def pivoted(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each band's pivot of this turn with the members of other components."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("component"))
+    pivots = rest.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.component").alias("of"))
+    return rest.join(pivots, "key").filter("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Links (a, b, similarity) between documents within edit similarity ``least``: one less the
     edit distance over the longer length.

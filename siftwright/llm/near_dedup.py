@@ -4,14 +4,15 @@ A sketch holds, for each of its registers, the smallest of the set's exponential
 exponential scale, truncated to 16 bits. Registers of a union are the larger of the two sets'
 registers, so sketches merge; two sets agree in a register about as often as their similarity.
 
-Documents with equal sets are one class. Bands of registers bring classes together; in each band
-every member meets one pivot. The registers of such a pair give a joint maximum-likelihood
-estimate of the similarity; a pair whose estimate is far below the threshold is let go, and every
-other pair is verified on the full sets. Links join classes to components.
-
-A pair that shares a band but not a pivot is not lost: rounds with other pivots go over the bands
-that still hold several components, and at last the pairs that are left in such bands, members of
-different components that have not met, are compared, block against block.
+Documents with equal sets are one class. Bands of registers bring classes together. Within a band
+the registers of pairs give the joint maximum-likelihood estimate of their similarity; pairs whose
+estimate is not far below the threshold join their classes to a cluster. The full sets of each
+cluster are then compared, each pair once whatever the number of bands it shares, and the links
+that hold join classes to components.
+
+Tasks emit no pairs but what pairs join: of a group of n members at most n - 1 rows, (smallest,
+member) for each member of a joined set. A band or cluster too large for one task is dealt out as
+blocks.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwright.llm.common import cut, map_texts, stored, table
+from siftwright.llm.common import cut, map_texts, parallelism, stored, table, whole_runs
 
 REGISTERS, BAND, BASE, SEED = 128, 4, 1.001, 5
 BANDS = REGISTERS // BAND
@@ -35,8 +36,13 @@ SLACK = 0.18
 #: Pairs with fewer equal registers are let go without an estimate: a link has so few in fewer than
 #: one case in ten thousand million, however the sets' sizes differ.
 EQUAL_SLACK = 0.28
-#: Rounds with pivots before the rest of a band is compared, and classes of a block in that.
-ROUNDS, BLOCK = 3, 256
+#: Classes of a band that first meet in one task.
+BLOCK = 512
+#: Classes of a block where blocks meet each other: as many blocks as keep all tasks busy, but of
+#: no fewer classes than the first, no more than the second, and about so many shingles at most.
+FEW, MANY, MANY_SHINGLES = 128, 4096, 1_000_000
+#: Cells of a matrix that counts common shingles at once.
+CELLS = 4_000_000
 _TOP = (1 << 16) - 1
 
 
@@ -95,28 +101,40 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def _slope(x: np.ndarray, y: np.ndarray, u: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Slope at ``j`` of the log-likelihood of the numbers of registers that are larger, smaller
+    and equal; u is the first set's share of the two sizes."""
+    more, less = (x > y).sum(1), (x < y).sum(1)
+    c, v = (BASE - 1) / BASE, 1 - u
+
+    def chance(z, dz):
+        z = np.clip(z, 1e-12, 1)
+        return -np.log1p(-z * c) / math.log(BASE), c * dz / ((1 - z * c) * math.log(BASE))
+
+    (p, dp), (q, dq) = chance(u - v * j, -v), chance(v - u * j, -u)
+    return more * dp / p + less * dq / q - (REGISTERS - more - less) * (dp + dq) / np.maximum(1 - p - q, 1e-12)
+
+
 def estimated(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of pairs of sets from their registers (a row per pair) and
-    sizes, jointly from the numbers of registers that are larger, smaller and equal."""
-    more, less = (x > y).sum(1)[:, None], (x < y).sum(1)[:, None]
-    same = REGISTERS - more - less
-    u = (size_x / (size_x + size_y))[:, None]
-    v = 1 - u
-    j = np.linspace(0, 1, 201)[None] * np.minimum(u / v, v / u)
-    chance = lambda z: -np.log1p(-np.clip(z, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
-    p, q = np.maximum(chance(u - v * j), 1e-12), np.maximum(chance(v - u * j), 1e-12)
-    fit = more * np.log(p) + less * np.log(q) + same * np.log(np.maximum(1 - p - q, 1e-12))
-    return j[np.arange(len(j)), fit.argmax(1)]
+    sizes: where the likelihood's slope changes sign."""
+    u = size_x / (size_x + size_y)
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
+    for _ in range(24):
+        mid = (low + high) / 2
+        up = _slope(x, y, u, mid) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return (low + high) / 2
 
 
 def hopeful(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs may have a similarity of ``least``: cheap counts of equal registers first, the
-    estimate for what they leave."""
+    """Which pairs may have a similarity of ``least``: those whose estimate is ``least`` less
+    SLACK or more, which the slope there tells. Cheap counts of equal registers come first."""
     out = (x == y).sum(1) >= (least - EQUAL_SLACK) * REGISTERS
+    out &= np.minimum(size_x, size_y) >= (least - SLACK) * np.maximum(size_x, size_y)
     at = np.flatnonzero(out)
-    for k in range(0, len(at), 1024):
-        part = at[k : k + 1024]
-        out[part] = estimated(x[part], y[part], size_x[part], size_y[part]) >= least - SLACK
+    u = size_x[at] / (size_x[at] + size_y[at])
+    out[at] = _slope(x[at], y[at], u, np.full(len(at), least - SLACK)) >= 0
     return out
 
 
@@ -148,168 +166,253 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u2").reshape(-1, REGISTERS)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is not far below ``least``."""
-    side = lambda name: classes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
-
-    def run(batches):
-        for batch in batches:
-            near = hopeful(_registers(batch.column(2)), _registers(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
-
-    return joined.mapInArrow(run, "a long, b long")
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if np.array_equal(up, parent):
+            return up
+        parent = up
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union.
+def connected(run: np.ndarray, part: np.ndarray, meets: np.ndarray | None, reg: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Labels of rows: members of a run that plausible estimates join have the same.
 
-    ``texts(node, text)`` has a row per class. Both texts join the pair; a pivot's set is kept
-    while its pairs stream by.
+    Rows of a run stand together; rows of one ``part`` are joined from the start. With ``meets``
+    (two Booleans a row: is on the left, is on the right) only such pairs are compared. Row i meets
+    row i + d, for all i at once; pairs already joined are passed over.
+    """
+    _, first, back = np.unique(part, return_index=True, return_inverse=True)
+    parent = first[back]
+    at, d = np.arange(len(run)), 0
+    while True:
+        d += 1
+        at = at[at < len(run) - d]
+        at = at[run[at] == run[at + d]]
+        if not len(at):
+            return parent
+        i = at[parent[at] != parent[at + d]]
+        if meets is not None:
+            i = i[(meets[i, 0] & meets[i + d, 1]) | (meets[i, 1] & meets[i + d, 0])]
+        if not len(i):
+            continue
+        i = i[hopeful(reg[i], reg[i + d], n[i], n[i + d], least)]
+        for x in i.tolist():
+            y = x + d
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            parent[max(x, y)] = min(x, y)
+        if len(i):
+            parent = _roots(parent)
+
+
+def _runs_of(key: pa.Table) -> np.ndarray:
+    """Numbers the runs of equal rows."""
+    columns = np.stack([c.to_numpy() for c in key.columns], 1)
+    return np.concatenate([[0], np.cumsum((columns[1:] != columns[:-1]).any(1))])
+
+
+def blocks_of(n: Column, parts: int, shingles: Column | None = None) -> Column:
+    """Number of blocks of a group of ``n`` members: a group of k blocks is k (k + 1) / 2 tasks' work
+    and k + 1 copies of its rows, so k grows with the group only until all tasks have work, and
+    beyond that only to bound a task's memory."""
+    k = F.least(n / FEW, F.lit(math.sqrt(2 * parts)))
+    k = F.greatest(k, n / MANY, *([shingles / MANY_SHINGLES] if shingles is not None else []))
+    return F.greatest(F.lit(1), F.ceil(k)).cast("int")
+
+
+def in_pairs(members: DataFrame, group: str) -> DataFrame:
+    """``members(group, node, blocks, ...)`` with block, low, high: each member once for each pair of
+    blocks of its group that its own block is in."""
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    dealt = placed.withColumn("pair", F.explode(pairs)).withColumns({"low": F.col("pair.low"), "high": F.col("pair.high")}).drop("pair", "blocks")
+    return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
+def plausible(bands: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(node, cluster): classes joined by pairs that share a band and whose estimate is not far
+    below ``least``; ``bands(key, node, a, n)`` has the members of bands with several.
+
+    First each band's members meet in blocks of about BLOCK, its smallest member ``a`` in all of
+    them. Then the blocks of larger bands that still hold several clusters meet each other.
+    """
+    parts = parallelism(bands.sparkSession)
+    sides = classes.select("node", "sketch", "n_shingles")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = bands.select("key", "node", F.explode(F.when(F.col("node") == F.col("a"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("block"))
+    met = dealt.join(sides, "node").repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "node", "sketch", "n_shingles")
+
+    def meet(batches):
+        for t in whole_runs(batches, 2):
+            node, n = t.column(2).to_numpy(), t.column(4).to_numpy()
+            yield _stars(node, connected(_runs_of(t.select([0, 1])), np.arange(len(node)), None, _registers(t.column(3)), n, least))
+
+    edges = cut(met.mapInArrow(meet, "a long, b long").distinct())
+    labels = components(edges)
+
+    large = bands.filter(F.col("n") > BLOCK).select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rest = cut(large.join(several, "key", "left_semi").select("key", "node", "component", blocks_of(F.col("n"), parts).alias("blocks")))
+    if rest.isEmpty():
+        return labels
+    across = in_pairs(rest.join(sides, "node"), "key").select("key", "low", "high", "block", "node", "component", "sketch", "n_shingles")
+
+    def meet_across(batches):
+        for t in whole_runs(batches, 3):
+            low, high, block, node, part, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 7))
+            run = _runs_of(t.select([0, 1, 2]))
+            parts_of = np.unique(np.stack([run, part], 1), axis=0, return_inverse=True)[1].ravel()
+            yield _stars(node, connected(run, parts_of, np.stack([block == low, block == high], 1), _registers(t.column(6)), n, least))
+
+    more = cut(across.mapInArrow(meet_across, "a long, b long").distinct())
+    return components(edges.unionByName(more))
+
+
+def _stars(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """(a, b): the smallest node of each label with each of its others."""
+    _, back = np.unique(label, return_inverse=True)
+    least = np.full(int(back.max()) + 1 if len(back) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, back, node)
+    others = least[back] != node
+    return pa.RecordBatch.from_arrays([pa.array(least[back][others]), pa.array(node[others])], names=["a", "b"])
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes.
+
+    Hashes that one set alone has are left out; the others are the columns of a matrix of zeros and
+    ones, of which some are multiplied at a time.
     """
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    sizes = np.array([len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    width = max(64, CELLS // len(sets))
+    for at in range(0, int((count > 1).sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        ones = np.zeros((len(sets), width), dtype=np.float32)
+        ones[row[a:b], column[a:b] - at] = 1
+        out += np.rint(ones @ ones.T).astype(np.int64)
+    np.fill_diagonal(out, sizes)
+    return out
 
-    def run(batches):
-        held, own = None, None
-        for batch in batches:
-            linked = []
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if a != held:
-                    held, own = a, shingles_of(batch.column(2)[i].as_py(), width)
-                other = shingles_of(batch.column(3)[i].as_py(), width)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                linked.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of sets: those that links join have the same. Links are pairs of a set on the left and
+    a set on the right (Booleans; a set may be both) with 100 * intersection >= percent * union."""
+    size = np.array([len(s) for s in sets])
+    label = np.arange(len(sets))
+    if len(sets) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return label * (100 * common < percent * (size.sum() - common))
+    common = common_counts(sets)
+    near = 100 * common >= percent * (size[:, None] + size[None] - common)
+    near &= (left[:, None] & right[None]) | (right[:, None] & left[None])
+    fresh = np.ones(len(sets), dtype=bool)
+    for i in range(len(sets)):
+        edge = np.array([i]) if fresh[i] else []
+        fresh[i] = False
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(0) & fresh)
+            fresh[edge] = False
+            label[edge] = i
+    return label
+
+
+def verified(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the members of each cluster of ``sets(cluster, blocks, node, set)``,
+    verified on the full sets; of each group of members that are compared, stars of what they join."""
+    dealt = in_pairs(sets, "cluster").select("cluster", "low", "high", "block", "node", "set")
+
+    def compare(batches):
+        for t in whole_runs(batches, 3):
+            low, high, block, node = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+            hashes = t.column(5).to_pylist()
+            bounds = np.flatnonzero(np.diff(_runs_of(t.select([0, 1, 2])), prepend=-1, append=-1)).tolist()
+            label = np.arange(len(node))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                own = [np.frombuffer(x, dtype=np.uint64) for x in hashes[a:b]]
+                label[a:b] = a + linked(own, block[a:b] == low[a:b], block[a:b] == high[a:b], percent) if b - a > 1 else a
+            yield _stars(node, label)
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges(a, b)`` reaches.
 
-    Labels spread over edges and then along labels, so the rounds grow with the logarithm of a
-    component's diameter. Each round is checkpointed; the minimum is combined before it is
-    shuffled, so a node with very many edges gathers in no task.
+    Each round joins every node to the smallest of its neighbours, and that one's, and goes on with
+    the edges between what is then joined; so the rounds grow with the logarithm of a component's
+    size, a star takes one, and each has fewer edges. Rounds are checkpointed; the minimum is
+    combined before it is shuffled, so a node with very many edges gathers in no task.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    left, labels = cut(both(edges.select("a", "b"))), None
     while True:
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(spread, labels["node"] == spread["a"], "left").select("node", "component", F.least("component", "m").alias("lower"))
-        jump = new.join(labels.select(F.col("node").alias("lower"), F.col("component").alias("further")), "lower", "left")
-        moved = cut(jump.select("node", F.least("lower", "further").alias("component"), (F.least("lower", "further") < F.col("component")).alias("moved")))
-        labels = moved.select("node", "component")
-        if moved.filter("moved").isEmpty():
+        joined = left.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
+        further = joined.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        joined = cut(joined.join(further, "up").select("a", "top"))
+        if labels is None:
+            labels = joined.select(F.col("a").alias("node"), F.col("top").alias("component"))
+        else:
+            labels = cut(labels.join(joined, labels["component"] == joined["a"], "left").select("node", F.coalesce("top", "component").alias("component")))
+        ends = left.join(joined, "a").select(F.col("top").alias("x"), F.col("b").alias("a")).join(joined, "a")
+        left = cut(ends.filter("x <> top").select(F.col("x").alias("a"), F.col("top").alias("b")).distinct())
+        if left.isEmpty():
             return labels
 
 
-def open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, component) of the bands that hold several components."""
-    known = bands.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high AND n > 2")
-    return known.join(several.select("key"), "key", "left_semi")
-
-
-def pivoted(rest: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each band's pivot of this turn with the members of other components."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("component"))
-    pivots = rest.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.component").alias("of"))
-    return rest.join(pivots, "key").filter("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): ``rows(doc_id, n_shingles, node)`` for each row of ``docs`` and
     ``labels(node, component)`` for classes that are linked; node is a class of equal sets.
     """
-    least = percent / 100
     rows = stored(sketched(docs, width), "sketches")
-    classes = stored(rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.sketch"), "classes")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sketch")).alias("x")
+    classes = stored(rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(one).select("node", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.sketch"), "classes")
     bands = banded(classes)
     counts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1")
-    bands = cut(bands.join(counts, "key").select("key", "node", "a"))
-
-    met = bands.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    near = cut(plausible(met, classes, least))
-    texts = _texts(docs, classes, bands.select("node").distinct(), width)
-    edges = labels = None
-    for turn in range(ROUNDS + 1):
-        if turn:
-            rest = cut(open_bands(bands.select("key", "node"), labels))
-            if rest.isEmpty():
-                break
-            if turn < ROUNDS:
-                met = pivoted(rest, turn)
-                near = cut(plausible(met, classes, least))
-            else:
-                near = cut(_between(rest, classes, least))
-            if near.isEmpty():
-                continue  # other pivots, and at last the pairs that are left, may still link
-        found = cut(verified(near, texts, width, percent))
-        if turn and found.isEmpty() and turn == ROUNDS:
-            break
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-    return rows.select("doc_id", "n_shingles", F.col("digest").alias("node")), labels
-
-
-def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, text) of the wanted classes, stored: one pass over the texts for all rounds. Classes
-    of which no row has an id are found by their sets' digests."""
-    first = classes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    base = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    joined = base.join(first, "doc_id").select("node", "text")
-
-    def right(batches):
+    clusters = plausible(cut(bands.join(counts, "key")), classes, percent / 100)
+    edges = cut(verified(_sets(docs, classes, clusters, width), percent))
+    return rows.select("doc_id", "n_shingles", F.col("digest").alias("node")), components(edges)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """(cluster, blocks, node, set) of the classes that are in clusters, stored; the only pass that
+    moves texts. Classes of which no row has an id are found by their sets' digests."""
+    members = classes.select("node", F.col("first").alias("doc_id"), "n_shingles").join(clusters.withColumnRenamed("component", "cluster"), "node")
+    blocks = blocks_of(F.count("*"), parallelism(docs.sparkSession), F.sum("n_shingles")).alias("blocks")
+    first = cut(members.join(members.groupBy("cluster").agg(blocks), "cluster").drop("n_shingles"))
+    schema = "cluster long, blocks int, node long, set binary"
+
+    def hashed(batches):
         """Of rows that repeat an id, those whose set is the class's."""
         for batch in batches:
-            keep = []
-            for node, text in zip(batch.column(0), batch.column(1)):
-                keep.append(_digest(shingles_of(text.as_py(), width)) == node.as_py())
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep, sets = [], []
+            for node, text in zip(batch.column(2), batch.column(3)):
+                own = shingles_of(text.as_py(), width)
+                keep.append(_digest(own) == node.as_py())
+                sets.append(own.tobytes())
+            whole = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["cluster", "blocks", "node", "set"])
+            yield whole.filter(pa.array(keep, pa.bool_()))
 
     def named(batches):
         for batch in batches:
-            nodes = [_digest(shingles_of(text.as_py(), width)) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "text"])
-
-    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(named, "node long, text string")
-    others = nameless.join(first.filter("doc_id IS NULL").select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    return stored(joined.mapInArrow(right, "node long, text string").unionByName(others), "texts")
+            sets = [shingles_of(text.as_py(), width) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-
-def _between(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs of different components within the bands that still hold several.
-
-    Members of a band fall into blocks of about BLOCK; a group is a pair of blocks. Registers are
-    compared as matrices, and only pairs that pass the estimate leave the task.
-    """
-    sized = rest.join(classes.select("node", "sketch", "n_shingles"), "node")
-    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    dealt = placed.withColumn("pair", F.explode(others)).select("key", "pair.low", "pair.high", "block", "node", "component", "sketch", "n_shingles")
-
-    def compare(group: pa.Table) -> pa.Table:
-        block, node, part = (group.column(i).to_numpy() for i in (3, 4, 5))
-        n = group.column(7).to_numpy()
-        reg = _registers(group.column(6))
-        low, high = int(group.column(1)[0].as_py()), int(group.column(2)[0].as_py())
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out_a, out_b = [], []
-        for i in left:
-            cand = right[(part[right] != part[i]) & ((node[right] > node[i]) | (low != high))]
-            cand = cand[np.minimum(n[cand], n[i]) >= (least - SLACK) * np.maximum(n[cand], n[i])]
-            if not len(cand):
-                continue
-            near = cand[hopeful(np.broadcast_to(reg[i], (len(cand), REGISTERS)), reg[cand], np.full(len(cand), n[i]), n[cand], least)]
-            out_a.append(np.minimum(node[near], node[i]))
-            out_b.append(np.maximum(node[near], node[i]))
-        empty = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    known = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").join(first, "doc_id").select("cluster", "blocks", "node", "text").mapInArrow(hashed, schema)
+    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(named, "node long, set binary")
+    others = nameless.join(first.filter("doc_id IS NULL").select("cluster", "blocks", "node"), "node").select("cluster", "blocks", "node", "set")
+    found = known.unionByName(others)
+    # rows that repeat an id and a text, or that have no id, give a class more than once
+    return stored(found.groupBy("cluster", "blocks", "node").agg(F.min("set").alias("set")), "sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -322,10 +425,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component; unless its set is shared, its component is null; it is kept only then.
     """
     rows, labels = links(docs, width, percent)
-    if labels is not None:
-        grouped = rows.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    else:
-        grouped = rows.withColumn("group", F.col("node"))
+    grouped = rows.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     names = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(names, "group", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -206,3 +206,55 @@ def test_near_neighbours_ties(spark):
     found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=30, window=1.0).collect()
     got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 30)}
     assert got == {0: [1, 2, 3, 4, 5], 30: [0, 1, 2, 3, 4]}
+
+
+def test_large_groups(spark, monkeypatch):
+    """A star of near copies, a chain and pairs under the threshold, over many blocks, against
+    brute force over all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "FEW", 8)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(150):  # copies with up to 12 words changed: some link to the base, some to others, some to none
+        own = list(base)
+        for at in rng.choice(120, rng.integers(1, 12), replace=False):
+            own[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(own))
+    walk = [f"c{i}" for i in range(400)]
+    texts += [" ".join(walk[i : i + 100]) for i in range(0, 300, 9)]  # each links to the next only
+    for k in range(10):
+        pair = [f"p{k}_{i}" for i in range(100)]
+        texts += [" ".join(pair), " ".join(pair[: 100 - 20 - k])]  # 0.68 to 0.79
+    sets = [set(near_dedup.shingles_of(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert len(set(label)) > 20
+
+
+def test_sketches():
+    """Sketches merge; links pass the bands and the estimate; the slope decides as the estimate."""
+    rng = np.random.default_rng(7)
+    x, y = (np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2))
+    both = near_dedup.sketch_of(np.union1d(x, y))
+    assert (both == near_dedup.merged(near_dedup.sketch_of(x), near_dedup.sketch_of(y))).all()
+    share, passed, met = [], [], []
+    for j in np.repeat([0.3, 0.62, 0.8], 300):
+        n = 270
+        common = int(round(2 * n * j / (1 + j)))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        u, v = pool[:n], np.concatenate([pool[:common], pool[n : 2 * n - common]])
+        a, b = near_dedup.sketch_of(u)[None], near_dedup.sketch_of(v)[None]
+        size = np.array([n])
+        share.append(near_dedup.estimated(a, b, size, size)[0])
+        passed.append(near_dedup.hopeful(a, b, size, size, 0.8)[0])
+        met.append((a == b).reshape(near_dedup.BANDS, near_dedup.BAND).all(1).any())
+        assert passed[-1] == (share[-1] >= 0.8 - near_dedup.SLACK) or (a == b).sum() < (0.8 - near_dedup.EQUAL_SLACK) * near_dedup.REGISTERS
+    share = np.array(share).reshape(3, 300)
+    assert np.abs(share.mean(1) - [0.3, 0.62, 0.8]).max() < 0.01 and share.std(1).max() < 0.05
+    assert all(passed[600:]) and all(met[600:]) and not any(passed[:300])
