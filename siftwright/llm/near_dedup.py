@@ -426,7 +426,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     rows, labels = links(docs, width, percent)
     grouped = rows.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    names = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    names = cut(grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id")))  # cut, so that Spark can split a large group's rows in the join
     out = grouped.join(names, "group", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
