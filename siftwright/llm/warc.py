@@ -16,8 +16,9 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftwright.llm.common import parallelism, shared_dir, stored, table
@@ -30,7 +31,7 @@ LEAST_BYTES = 0
 LEVEL = 6
 _MOST_HEADER = 1 << 20
 
-RECORDS = "record_id string, page_id {id}, record_type string, refers_to {id}, uri string, payload_bytes long, payload_digest string"
+RECORDS = "record_id string, page_id string, record_type string, refers_to string, uri string, payload_bytes long, payload_digest string"
 
 
 def filesystem(path: str):
@@ -51,16 +52,17 @@ def base32(sha1_hex: str) -> str:
 def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """What to write for each page: page_id, url, payload, payload_bytes, sha1, refers_to.
 
-    Of equal payloads the one with the smallest page_id is written; the others refer to it, as do
-    pages that repeat that id only to the text itself: all rows with the smallest id are written.
-    Only ids and digests are shuffled to find them; payloads move once, by page_id, which is even.
+    Of equal payloads the one with the smallest page_id is written; the others refer to it. Rows
+    that repeat the smallest id are all written, and so are rows of a payload that no id has: there
+    is nothing to refer to. Only ids and digests are shuffled to find them; payloads move once, by
+    page_id and digest, which is even.
     """
     base = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     light = base.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "sha1")
-    first = light.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    again = light.join(first, "sha1").filter("page_id <> first_id").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first_id").distinct()
-    joined = base.join(again, (base["page_id"] == again["_page"]) & (base["sha1"] == again["_sha1"]), "left")
+    first = light.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1 AND first_id IS NOT NULL")
+    again = light.join(first, "sha1").filter("NOT page_id <=> first_id").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first_id").distinct()
+    joined = base.join(again, base["page_id"].eqNullSafe(again["_page"]) & (base["sha1"] == again["_sha1"]), "left")
     return joined.select("page_id", "url", "payload", "payload_bytes", "sha1", F.col("first_id").alias("refers_to"))
 
 
@@ -81,20 +83,26 @@ def _line(value) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
 
 
-def _record_uri(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+def _record_uri(page_id: str | None) -> str:
+    """Names a record; that of a row without page_id by a name of its own."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
-def header_of(row) -> bytes:
-    revisit = row.refers_to is not None
+def _page_of(uri: str | None) -> str | None:
+    known = uri is not None and uri.startswith("<urn:page:")
+    return unquote(uri.removeprefix("<urn:page:").removesuffix(">")) if known else None
+
+
+def header_of(page_id: str | None, url: str | None, payload_bytes: int, sha1: str, refers_to: str | None) -> bytes:
+    revisit, uri = refers_to is not None, _record_uri(page_id)
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_uri(row.page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_line(row.url) if row.url is not None else f'urn:page:{row.page_id}'}", "Content-Type: text/html; charset=utf-8",
-        f"WARC-Payload-Digest: sha1:{base32(row.sha1)}", f"X-Payload-Length: {row.payload_bytes}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {uri}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_line(url) if url is not None else uri[1:-1]}", "Content-Type: text/html; charset=utf-8",
+        f"WARC-Payload-Digest: sha1:{base32(sha1)}", f"X-Payload-Length: {payload_bytes}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: {_record_uri(row.refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines.append(f"Content-Length: {0 if revisit else row.payload_bytes}")
+        lines += [f"WARC-Refers-To: {_record_uri(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    lines.append(f"Content-Length: {0 if revisit else payload_bytes}")
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n"
 
 
@@ -102,44 +110,47 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, level:
     """Writes a record per row of ``pages(page_id, url, html)`` and returns the manifest, a stored
     table of (path, records, bytes).
 
-    A null html is an empty payload, a null url becomes a URN of the page. A row without page_id
-    cannot be named by a record and is left out. Each record is a gzip member of its own.
+    A null html is an empty payload, a null url becomes the record's own name. Ids are written as
+    text, whatever their type. A row without page_id has a record under a name of its own, which is
+    read back with a null page_id. Rows that repeat an id are records that share a name. An empty
+    table gives an empty manifest. Each record is a gzip member of its own; the digest of what was
+    written is carried from chunk to chunk and must be that of its header.
     """
-    kind = dict(pages.dtypes)["page_id"]
-    rows = chunked(planned(pages.filter("page_id IS NOT NULL"), least_bytes))
+    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
+    rows = chunked(planned(pages, least_bytes)).withColumns(ids).select("page_id", "url", "payload_bytes", "sha1", "refers_to", "chunk_no", "last", "chunk")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        out, name, done, gz, member = None, "", [], None, 0
-        for pdf in batches:
-            pdf["refers_to"] = pdf["refers_to"].astype("object").where(pdf["refers_to"].notna(), None)
-            for row in pdf.itertuples(index=False):
-                if out is None or (row.chunk_no == 0 and done[-1][2] > ARCHIVE):
+        out, done, gz, digest = None, [], None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                *head, chunk_no, last, chunk = (batch.column(i)[at].as_py() for i in range(8))
+                if out is None or (chunk_no == 0 and done[-1][2] > ARCHIVE):
                     if out is not None:
                         out.close()
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
                     done.append([f"{folder}/{name}", 0, 0])
-                if row.chunk_no == 0:
-                    gz, member = zlib.compressobj(level, zlib.DEFLATED, 31), done[-1][2]
-                    refers = row.refers_to
-                    row_id = row._replace(refers_to=None if refers is None else int(refers))
-                    data = gz.compress(header_of(row_id))
-                else:
-                    data = b""
-                data += gz.compress(row.chunk)
-                if row.last:
+                data = b""
+                if chunk_no == 0:
+                    gz, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
+                    data = gz.compress(header_of(*head))
+                digest.update(chunk)
+                data += gz.compress(chunk)
+                if last:
+                    if head[4] is None and digest.hexdigest() != head[3]:
+                        raise Corrupt(f"page {head[0]}: its chunks have another digest")
                     data += gz.compress(b"\r\n\r\n") + gz.flush()
                     done[-1][1] += 1
                 out.write(data)
                 done[-1][2] += len(data)
         if out is not None:
             out.close()
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        paths, records, sizes = zip(*done) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], names=["path", "records", "bytes"])
 
-    del kind
-    return stored(rows.mapInPandas(run, "path string, records long, bytes long"), "warc-manifest")
+    return stored(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 class Corrupt(ValueError):
@@ -206,34 +217,34 @@ def read_chunks(manifest: DataFrame, payload: bool = True, kind: str = "bigint")
     with this chunk), last, and the chunk itself unless ``payload`` is false. A revisit has one
     empty chunk. A damaged archive raises ``Corrupt``.
     """
-    schema = RECORDS.format(id=kind) + ", chunk_no int, chunk_bytes long, digest string, last boolean" + ", chunk binary" * payload
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page_of = lambda uri: None if uri is None else int(uri.removeprefix("<urn:page:").removesuffix(">"))
-        names = [x.split()[0] for x in schema.split(", ")]
-
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-        for pdf in batches:
-            for path in pdf["path"]:
+    schema = RECORDS + ", chunk_no int, chunk_bytes long, digest string, last boolean" + ", chunk binary" * payload
+    names = [x.split()[0] for x in schema.split(", ")]
+    text, number = pa.string(), pa.int64()
+    types = [text, text, text, text, text, number, text, pa.int32(), number, text, pa.bool_(), *[pa.binary()] * payload]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows):
+            columns = zip(*rows) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 system, inner = filesystem(path)
                 rows, size = [], 0
                 with system.open_input_stream(inner, compression=None) as f:
                     for header, number, part, so_far, last in parse(f.read):
                         rows.append((
-                            header["warc-record-id"], page_of(header["warc-record-id"]), header["warc-type"], page_of(header.get("warc-refers-to")), header["warc-target-uri"],
+                            header["warc-record-id"], _page_of(header["warc-record-id"]), header["warc-type"], _page_of(header.get("warc-refers-to")), header["warc-target-uri"],
                             int(header["x-payload-length"]), header["warc-payload-digest"].removeprefix("sha1:"), number, len(part), so_far, last, *[part] * payload,
                         ))
                         size += len(part) * payload + 300
                         if size > 1 << 23:
-                            yield frame(rows)
+                            yield made(rows)
                             rows, size = [], 0
-                yield frame(rows)
+                yield made(rows)
 
     spread = manifest.select("path").repartition(parallelism(manifest.sparkSession), "path")  # a number, or the few names would gather in one task
-    return spread.mapInPandas(run, schema)
+    return spread.mapInArrow(run, schema).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def payloads(chunks: DataFrame) -> DataFrame:
@@ -258,13 +269,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS x FROM p),
 f AS (SELECT x, min(page_id) AS first_id FROM h WHERE payload_bytes >= {LEAST_BYTES} GROUP BY x)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   list_aggregate(list_transform(range(0, 8), lambda g:
     list_aggregate(list_transform(range(0, 4), lambda k:
       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
-  CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM h LEFT JOIN f USING (x)"""

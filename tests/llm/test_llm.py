@@ -1,11 +1,13 @@
 """The operators against SQL, brute force, exact round trips and held-out rows."""
 
+import gzip
 import hashlib
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,8 +90,29 @@ def test_chat(spark):
 def test_warc_round_trip(spark, tmp_path):
     texts = [None, "", "x" * 200_000, "x" * 200_000, "é" * 70_000]
     pages = spark.createDataFrame([(i, "u\n" if i else None, t) for i, t in enumerate(texts)], "page_id long, url string, html string")
-    back = warc.payloads(warc.read_chunks(warc.write(pages, f"file://{tmp_path}/w")).filter("record_type = 'response'"))
+    manifest = warc.write(pages, f"file://{tmp_path}/w")
+    back = warc.payloads(warc.read_chunks(manifest).filter("record_type = 'response'"))
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in back.collect()} == {0: "", 2: texts[2], 4: texts[4]}
+    assert warc.read_chunks(warc.write(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
+    damaged = tmp_path / "damaged.warc.gz"
+    whole = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:X\r\nX-Payload-Length: 1\r\nContent-Length: 1\r\n\r\na\r\n\r\n")
+    damaged.write_bytes(whole)
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_chunks(spark.createDataFrame([(f"file://{damaged}",)], "path string")).count()
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_warc_ids(spark, tmp_path, kind):
+    """Ids past 2 ** 53, null and repeated ids, ids that are text."""
+    one = lambda i: i if i is None or kind == "long" else f"p {i}/é>"
+    big = 9007199254740993
+    rows = [(one(big), "u", "same", 1), (one(big + 2), "u", "same", 2), (None, None, "same", 3), (one(7), "u", None, 4), (None, "u", "alone", 5), (None, "u", "alone", 5), (one(8), "u", "twice", 6), (one(8), "u", "twice", 6), (one(9), "u", "last", 7)]
+    pages = spark.createDataFrame(rows, f"page_id {kind}, url string, html string, refers_to int")
+    back = warc.read_chunks(warc.write(pages, f"file://{tmp_path}/w"), kind="bigint" if kind == "long" else kind)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in back.collect()), key=str)
+    revisit = lambda i: (one(i), "revisit", one(big), 4)
+    want = [(one(big), "response", None, 4), revisit(big + 2), revisit(None), (one(7), "response", None, 0), *[(None, "response", None, 5)] * 2, *[(one(8), "response", None, 5)] * 2, (one(9), "response", None, 4)]
+    assert got == sorted(want, key=str)
 
 
 def test_bpe(spark):
@@ -203,7 +226,7 @@ def test_near_pairs(spark):
 def test_near_neighbours_ties(spark):
     """More vectors tie at the cut than the short list holds: the smaller ids come first."""
     rows = [(i, [1.0 if i % 60 == d else 0.0 for d in range(60)] + [1.0]) for i in range(60)]
-    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=30, window=1.0).collect()
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=30, recall=2.0).collect()
     got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 30)}
     assert got == {0: [1, 2, 3, 4, 5], 30: [0, 1, 2, 3, 4]}
 
@@ -258,3 +281,49 @@ def test_sketches():
     share = np.array(share).reshape(3, 300)
     assert np.abs(share.mean(1) - [0.3, 0.62, 0.8]).max() < 0.01 and share.std(1).max() < 0.05
     assert all(passed[600:]) and all(met[600:]) and not any(passed[:300])
+
+
+def recall_of(spark, vectors, k=20, every=20):
+    """Recall against brute force, and the share of rows that a query is compared with."""
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(vectors)), "embedding": list(vectors)}))
+    found = {}
+    for r in ann.search(rows, k, every).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in range(0, len(vectors), every):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = np.argpartition(-scores, k)[:k]
+        hits, total = hits + len(found[q] & set(best.tolist())), total + k
+    asked = rows.withColumn("point", F.col("vec_id")).withColumn("asked", F.col("vec_id") % every == 0)
+    return hits / total, ann.fit(asked.select("point", "embedding", "asked"), k)[1].share
+
+
+def test_near_neighbours_of_low_dimension(spark, monkeypatch):
+    """Clustered vectors and vectors along a surface: few rows are compared, most neighbours found."""
+    monkeypatch.setattr(ann, "SAMPLE", 8192)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(400, 32))
+    clustered = centres[rng.integers(0, 400, 20_000)] + 0.05 * rng.normal(size=(20_000, 32))
+    surface = np.tanh(rng.normal(size=(20_000, 3)) @ rng.normal(size=(3, 32))) + 0.005 * rng.normal(size=(20_000, 32))
+    for name, vectors in (("clustered", clustered), ("surface", surface)):
+        recall, share = recall_of(spark, vectors / np.linalg.norm(vectors, axis=1)[:, None])
+        print(name, recall, share)
+        assert recall >= 0.9 and share < 0.2, (name, recall, share)
+
+
+def test_near_neighbours_without_structure(spark):
+    """Vectors of no structure: windows are wide, and most neighbours are found all the same."""
+    recall, share = recall_of(spark, np.random.default_rng(9).normal(size=(6000, 48)))
+    print(recall, share)
+    assert recall >= 0.9
+
+
+def test_near_neighbours_odd(spark):
+    """Null, zero, short and non-finite vectors, null and repeated ids, equal vectors, no rows."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.5]), (2, [-0.0, 1.0, 0.0]), (20, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [9.0, 9.0, 9.0]), (8, [1.0, 1.0, 0.0]), (8, [2.0, 0.0, 0.0]), (40, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("point", F.lit(1)).withColumn("query", F.lit("x"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(table, k=4).collect()}
+    assert got == {(0, 1): (8, 2.0), (0, 2): (8, 1.0), (0, 3): (1, 0.5), (0, 4): (2, 0.0), (20, 1): (2, 1.0), (20, 2): (8, 1.0), (20, 3): (0, 0.0), (20, 4): (1, 0.0)}
+    assert ann.search(table.limit(0)).count() == 0
