@@ -1,12 +1,13 @@
-"""Secret scans over a trigram inverted index, in DataFrame operations only.
+"""Secret scans over a trigram index, in DataFrame operations only.
 
 Each rule's regular expression yields a Boolean trigram query (``trigrams``). One pass over the
-texts makes the postings of the trigrams that some query names; intersecting a document's postings
-decides which rules it can match, and only those are verified on its text. A rule without a
-mandatory trigram scans every text.
+texts makes the postings of the trigrams that some query names; intersecting them decides which
+rules a text can match, and only those are verified on it. A rule without a mandatory trigram scans
+every text.
 
-The lists of postings per document are small and bounded by the number of trigrams that the rules
-name, so no common trigram gathers in one task: postings are intersected by document.
+The postings stand in the texts' own order: beside each text, a bit for each trigram that the rules
+name. So intersecting and verifying move no text, and neither a common trigram nor a repeated or
+null id gathers anywhere. ``postings`` gives the same index inverted, as rows of (trigram, document).
 """
 
 from __future__ import annotations
@@ -59,16 +60,29 @@ MORE = (
 )
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index, restricted to ``grams``: rows of (gram number, document)."""
-    lowered = docs.select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return lowered.select(F.explode(held).alias("gram"), "doc_id")
+def grams_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries name, in order."""
+    return sorted(set().union(*(trigrams.grams_of(r.query) for r in rules)))
+
+
+def words_of(low: Column, grams: list[str]) -> list[Column]:
+    """The postings of a lower-cased text as 64-bit words: a bit for each of ``grams``."""
+    bits = [F.contains(low, F.lit(g)).cast("long") * F.lit(1 << i % WORD) for i, g in enumerate(grams)]
+    return [sum(bits[at + 1 : at + WORD], bits[at]) for at in range(0, len(grams), WORD)]
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The inverted index, restricted to the rules' trigrams: a row of (gram, doc_id) for each
+    document that has one."""
+    grams = grams_of(rules)
+    held = docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", *[w.alias(f"w{i}") for i, w in enumerate(words_of(F.col("low"), grams))])
+    each = [F.when(F.col(f"w{i // WORD}").bitwiseAND(F.lit(1 << i % WORD)) != 0, F.lit(g)) for i, g in enumerate(grams)]
+    return held.select(F.explode(F.array_compact(F.array(*each))).alias("gram"), "doc_id")
 
 
 def _holds(query, at: dict[str, int]) -> Column:
     if isinstance(query, str):
-        return F.col(f"w{at[query] // WORD}").bitwiseAND(F.lit(1 << at[query] % WORD)) != 0
+        return F.col(f"_w{at[query] // WORD}").bitwiseAND(F.lit(1 << at[query] % WORD)) != 0
     word, parts = query
     out = None
     for x in (_holds(p, at) for p in parts):
@@ -76,19 +90,6 @@ def _holds(query, at: dict[str, int]) -> Column:
     return out
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Documents whose postings satisfy a rule's query: doc_id, and a Boolean ``can_<kind>`` of
-    each indexed rule. Documents that no rule can match are absent."""
-    indexed = [r for r in rules if r.query is not True]
-    grams = sorted(set().union(*(trigrams.grams_of(r.query) for r in indexed)))
-    at = {g: i for i, g in enumerate(grams)}
-    words = range((len(grams) + WORD - 1) // WORD)
-    bits = [F.bit_or(F.expr(f"if(gram div {WORD} = {w}, shiftleft(1L, gram % {WORD}), 0L)")).alias(f"w{w}") for w in words]
-    gathered = postings(docs, grams).groupBy("doc_id").agg(*bits)
-    able = gathered.select("doc_id", *[_holds(r.query, at).alias(f"can_{r.kind}") for r in indexed])
-    return able.filter(" OR ".join(f"can_{r.kind}" for r in indexed))
-
-
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule's leftmost non-overlapping matches, as an array of (start, rank, end) in
     code points, end exclusive. The matches and what lies between them tile the text, so running
@@ -111,24 +112,30 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.rlike(text, regex), spans).otherwise(F.array().cast(f"array<{span}>"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """Adds ``secrets`` to each row of ``docs``: its spans as (start, rank, end), by start, then in
-    the order of ``rules``.
-
-    ``docs`` has doc_id and text; its other columns stay as they are. A null or empty text has no
-    spans. Rows that repeat an id are each scanned; their postings are shared. A null id is an id.
-    An empty table gives an empty table.
-    """
-    able = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
-    able = able.withColumnRenamed("doc_id", "_able_id")
-    joined = docs.join(able, docs["doc_id"].eqNullSafe(able["_able_id"]), "left")
-    text = F.coalesce(docs["text"], F.lit(""))
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(_row, _spans): each row of ``docs`` as a struct, so that none of its columns can clash."""
+    grams = grams_of(rules)
+    at = {g: i for i, g in enumerate(grams)}
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"), F.lower(F.coalesce(docs["text"], F.lit(""))).alias("_low"))
+    words = [w.alias(f"_w{i}") for i, w in enumerate(words_of(F.col("_low"), grams))]
+    held = kept.select("_row", "_text", *words)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     each = []
     for rank, rule in enumerate(rules):
-        spans = spans_of(text, rule, rank)
-        each.append(spans if rule.query is True else F.when(F.coalesce(able[f"can_{rule.kind}"], F.lit(False)), spans).otherwise(empty))
-    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*each)).alias("secrets"))
+        spans = spans_of(F.col("_text"), rule, rank)
+        each.append(spans if rule.query is True else F.when(_holds(rule.query, at), spans).otherwise(empty))
+    return held.select("_row", F.array_sort(F.concat(*each)).alias("_spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, name: str = "secrets") -> DataFrame:
+    """Adds the column ``name`` to each row of ``docs``: its spans as (start, rank, end), by start,
+    then in the order of ``rules``.
+
+    ``docs`` has a column text; its other columns stay as they are, but for one called ``name``,
+    which is replaced. A null or empty text has no spans. Rows are independent of each other, so
+    repeated and null ids need no care; an empty table gives an empty table.
+    """
+    return _scanned(docs, rules).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != name], F.col("_spans").alias(name))
 
 
 def named(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -148,17 +155,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span replaced by ``mark``; overlapping spans become one mark."""
-    found = scan(docs)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("_row")["text"]
 
     def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         fresh = s["start"] >= acc["at"]
         first = (s["start"] == 0) & (acc["at"] == 0)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh | first, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))).drop("secrets")
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size("_spans") > 0, clean).otherwise(text)
+    return _scanned(docs, BASE + MORE).select(*[(masked if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
