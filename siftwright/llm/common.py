@@ -46,7 +46,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     a checkpoint for wide rows of which later steps want few columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
