@@ -4,9 +4,10 @@ One aggregation makes the global histogram of lengths. Dynamic programming over
 bucket boundaries that minimise padding, and token-budget batches form inside each bucket: as many
 documents as fit the budget when each is padded to the bucket's boundary.
 
-The histogram is bounded: lengths up to ``EXACT`` count singly, longer ones on a grid of relative
-width 1 / (EXACT / 2), so the driver holds at most EXACT / 2 cells for each further doubling. The
-padding is minimal among boundaries on that grid.
+The histogram is bounded: lengths up to ``EXACT`` count singly, longer ones in cells of relative
+width 1 / (EXACT / 2), so the driver holds at most EXACT / 2 cells for each further doubling. A cell
+carries its longest length, and only cells' longest lengths are boundaries: the padding is minimal
+up to a length of EXACT, and beyond it within one part in EXACT / 2 of the padded tokens.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwright.llm.common import stored
 
-EXACT = 2048
+EXACT = 1 << 16
 #: Padded tokens of a batch, and the number of buckets.
 TOKEN_BUDGET, BUCKETS = 8192, 12
 #: Mean documents of a chunk, the unit in which documents of a bucket are numbered.
@@ -39,9 +40,12 @@ def on_grid(n: Column) -> Column:
 def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Boundaries of at most ``buckets`` buckets that minimise padding.
 
-    cells: (grid point, documents, their tokens), by grid point. A bucket's boundary is its
-    largest grid point; its padding is boundary times documents less tokens. Of equal choices the
-    one with fewer buckets, then the lower boundaries, wins.
+    cells: (longest length, documents, their tokens), by length. A bucket's boundary is its longest
+    length; its padding is boundary times documents less tokens. Of equal choices the one with
+    fewer buckets, then the lower boundaries, wins.
+
+    The best start of a bucket does not fall as its end rises, so each half of the ends searches
+    its part of the starts only.
     """
     if not cells:
         return []
@@ -51,12 +55,19 @@ def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     finals = []
-    for _ in range(min(buckets, n)):
+    for k in range(1, min(buckets, n) + 1):
         new, came = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + at[j - 1] * (c[j] - c[:j]) - (t[j] - t[:j])
-            came[j] = i = int(np.argmin(cost))
-            new[j] = cost[i]
+        todo = [(k, n, k - 1, n - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = slice(first, min(last, j - 1) + 1)
+            cost = best[i] + at[j - 1] * (c[j] - c[i]) - (t[j] - t[i])
+            came[j] = first + int(np.argmin(cost))
+            new[j] = cost[came[j] - first]
+            todo += [(low, j - 1, first, int(came[j])), (j + 1, high, int(came[j]), last)]
         back.append(came)
         finals.append(new[n])
         best = new
@@ -75,21 +86,22 @@ def pack(docs: DataFrame, length: Column | None = None, budget: int = TOKEN_BUDG
     global number), slot (from 0), pad (boundary less n_tokens). ``length`` defaults to the number
     of words. A null or empty text has length 0 and is packed like any other. A text longer than
     the budget has a batch of its own and stays whole. Within a bucket the order is that of a hash
-    of the id, so a batch mixes sources; rows that repeat an id and a length are interchangeable.
-    An empty table gives an empty table.
+    of the id, so a batch mixes sources; rows that repeat an id and a length are interchangeable,
+    and those without id are spread by their place in the input. An empty table gives an empty table.
     """
     n = length if length is not None else word_count(F.col("text"))
-    sized = stored(docs.select("doc_id", n.alias("n_tokens")).withColumn("grid", on_grid(F.col("n_tokens"))), "lengths")
-    cells = sorted(map(tuple, sized.groupBy("grid").agg(F.count("*"), F.sum("n_tokens")).collect()))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place")
+    sized = stored(docs.select("doc_id", n.alias("n_tokens"), place).withColumn("grid", on_grid(F.col("n_tokens"))), "lengths")
+    cells = sorted(tuple(r)[1:] for r in sized.groupBy("grid").agg(F.max("n_tokens"), F.count("*"), F.sum("n_tokens")).collect())
     bounds = boundaries(cells, buckets) or [0]
     caps = [max(1, budget // max(1, b)) for b in bounds]
     held = [sum(c for g, c, _ in cells if low < g <= b) for low, b in zip([-1, *bounds], bounds)]
     batches = [0, *np.cumsum([-(-h // cap) for h, cap in zip(held, caps)]).tolist()]
     chunks = max(1, -(-sum(held) // CHUNK_ROWS))
 
-    bucket = sum((F.col("grid") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+    bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket"))
-    placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)).alias("chunk"))
+    placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id", "n_tokens", "place"), F.lit(chunks)).alias("chunk"))
     before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("rows"))
     offsets = counts.select("bucket", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
