@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftwright.llm.common import crc_of, keep_texts, map_texts, table
 
-#: Bytes of a dictionary, and characters that a sampled document gives it at most.
-DICT_BYTES, DOC_CHARS = 64_000, 1_000
-#: Documents sampled for each language, and languages learned: those with the most documents.
-SAMPLE_ROWS, LANGUAGES = 200, 200
+#: Bytes of a dictionary; pieces of a sampled document that go into it, and characters of each.
+DICT_BYTES, PIECES, PIECE_CHARS = 64_000, 8, 120
+#: Documents sampled for each language, and sampled ids that may be broadcast.
+SAMPLE_ROWS, BROADCAST_ROWS = 200, 100_000
 #: Characters of text that are compressed together; level of compression.
 BLOCK, LEVEL = 4096, 3
 #: Relative margin between the two smallest sizes at which the score is a half, and the score
@@ -27,30 +27,36 @@ UNDETERMINED = "und"
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Bounded training sample: of each of the languages, the documents first in hash order.
+    """Training sample: of each language, the SAMPLE_ROWS documents first in hash order. Of each of
+    them, pieces at places that a hash chooses anywhere in it, or all of a text that is no longer.
 
     Ids are ranked before any text is read, so the sort moves ids only, and a language that holds
     most rows is cut down in each task before it meets (the rank limit is pushed below the
-    shuffle). The ids chosen are at most LANGUAGES x SAMPLE_ROWS and are broadcast.
+    shuffle). The sample, and so what the driver holds, grows with the number of languages only;
+    its ids are broadcast if they are at most BROADCAST_ROWS.
     """
     known = docs.select("doc_id", "text", "lang").filter((crc_of("doc_id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_ROWS)
-    chosen = ranked.join(F.broadcast(top), "lang").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "rank")
-    picked = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    return picked.select("lang", "rank", F.substring("text", 1, DOC_CHARS).alias("text"))
+    chosen = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "rank")
+    if known.select("lang").distinct().count() * SAMPLE_ROWS <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    picked = known.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    room = F.greatest(F.lit(1), F.length("text") - PIECE_CHARS + 1)
+    piece = lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", i), room) + 1).cast("int"), F.lit(PIECE_CHARS))
+    pieces = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(PIECES)), piece), "\n")
+    return picked.select("lang", "rank", F.when(F.length("text") <= PIECES * PIECE_CHARS, F.col("text")).otherwise(pieces).alias("text"))
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Raw dictionary content by language. An empty table gives none."""
+    """Raw dictionary content by language; every label is learned. An empty table gives none."""
     rows = sorted((r["lang"], r["rank"], r["text"]) for r in sample(docs).collect())
     out: dict[str, bytearray] = {}
     for lang, _, text in rows:
         own = out.setdefault(lang, bytearray())
         if len(own) < DICT_BYTES:
-            own += text.lower().encode("utf-8") + b"\n"
-    return {k: bytes(v[:DICT_BYTES]) for k, v in out.items()}
+            own += text.lower().encode("utf-8", "replace") + b"\n"
+    return {k: bytes(v[:DICT_BYTES]).decode("utf-8", "ignore").encode("utf-8") for k, v in out.items()}
 
 
 class Sizes:
