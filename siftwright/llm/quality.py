@@ -20,8 +20,8 @@ from siftwright.llm.common import crc_of, keep_texts, map_texts, table
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 64, 4, 24
 #: Labelled rows of each class that training may take.
 SAMPLE_ROWS = 1500
-#: Chunks of a document in a training step (drawn anew each epoch from the whole document).
-STEP_CHUNKS, BATCH, EPOCHS, RATE, DECAY, SEED = 3, 32, 8, 0.01, 1e-4, 7
+#: Documents of a training step, passes over the sample, rate, decay and seed.
+BATCH, EPOCHS, RATE, DECAY, SEED = 32, 8, 0.01, 1e-4, 7
 
 
 def chunks_of(raw: bytes) -> np.ndarray:
@@ -49,14 +49,18 @@ class Network:
     def parts(self) -> list[np.ndarray]:
         return [self.weights, self.bias, self.out, self.shift]
 
-    def pooled(self, chunks: np.ndarray, where: bool = False):
-        """Largest response of each filter in each chunk (after a rectifier), and its position."""
-        n = chunks.shape[1] - WIDTH + 1
-        response = self.weights[0][chunks[:, :n]]
-        for k in range(1, WIDTH):
-            response += self.weights[k][chunks[:, k : k + n]]
-        at = response.argmax(1) if where else None
-        return np.maximum(response.max(1) + self.bias, 0), at
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter in each chunk (after a rectifier), and its position; some
+        chunks at a time."""
+        n, most, where = chunks.shape[1] - WIDTH + 1, [], []
+        for at in range(0, len(chunks), 64):
+            part = chunks[at : at + 64]
+            response = self.weights[0][part[:, :n]]
+            for k in range(1, WIDTH):
+                response += self.weights[k][part[:, k : k + n]]
+            where.append(response.argmax(1))
+            most.append(np.take_along_axis(response, where[-1][:, None], 1)[:, 0])
+        return np.maximum(np.concatenate(most) + self.bias, 0), np.concatenate(where)
 
     def pairs(self) -> list[np.ndarray]:
         """The filters as tables over byte pairs, for scoring: two look-ups a position, not four."""
@@ -67,7 +71,8 @@ class Network:
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float]) -> Network:
-    """Trains by Adam on weighted log loss. Deterministic for given rows in given order."""
+    """Trains by Adam on weighted log loss, each step over all chunks of its documents, as scores are
+    taken. Deterministic for given rows in given order."""
     rng = np.random.default_rng(SEED)
     net = Network(rng)
     docs = [chunks_of(t.encode("utf-8", "replace")) for t in texts]
@@ -78,9 +83,9 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Network:
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             picked = order[at : at + BATCH]
-            own = [d if len(d) <= STEP_CHUNKS else d[np.sort(rng.choice(len(d), STEP_CHUNKS, replace=False))] for d in (docs[i] for i in picked)]
+            own = [docs[i] for i in picked]
             chunks, doc = np.concatenate(own), np.repeat(np.arange(len(picked)), [len(x) for x in own])
-            pooled, where = net.pooled(chunks, True)
+            pooled, where = net.pooled(chunks)
             starts = np.searchsorted(doc, np.arange(len(picked)))
             counts = np.diff([*starts, len(doc)])[:, None]
             top = np.maximum.reduceat(pooled, starts)
