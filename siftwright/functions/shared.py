@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: One temporary folder per application.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder that the driver and all executors share: the one the cluster names in
+    ``spark.checkpoint.dir``. On one machine, as in tests, a temporary folder does where that is
+    unset; on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not named:
-            named = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        named = _own[sc.applicationId]
     return named.rstrip("/")
 
 
@@ -28,5 +35,5 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a lost executor costs no
     recomputation of what came before."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,8 @@ from siftwright.streaming import rollups
 BINS, K, RATIO = 5, 5, 0.3
 #: The shards' clients and the blocks' shares of rows in the queries over unlike sites.
 OWNERS, SHARES = (0, 1, 2, 3, 3, 2, 1, 0), (0.1, 0.2, 0.3)
+#: Sizes of a client's table.
+SHAPE = {"feature": len(LI_FEATURES), "bin": BINS}
 PICKED, IDEAL, FOUND = (34, 29, 0), (0, 1, 2, 3), (2, 3, 4)
 
 
@@ -53,20 +55,28 @@ def holed(spark, d):
 
 
 def src_matrix_text(spark, d):
-    """The matrix as two text files, each in row order, read back and aligned by line. The format
-    is one file each."""
-    rows, path = emb(spark, d), fresh_path(spark, "matrix")
-    text = rows.select("row_id", F.array_join(F.transform("features", lambda x: x.cast("string")), " ").alias("value"), F.col("y").cast("string").alias("label"))
-    text.coalesce(1).sortWithinPartitions("row_id").select("value").write.text(f"{path}/data")
-    text.coalesce(1).sortWithinPartitions("row_id").select(F.col("label").alias("value")).write.text(f"{path}/labels")
+    """The matrix as text, in row order, read back and aligned by line."""
+    path = fresh_path(spark, "matrix")
+    files.write_matrix_text(emb(spark, d), f"{path}/data", f"{path}/labels")
     back = files.read_matrix(spark, f"{path}/data", f"{path}/labels")
     return back.select("row_id", "y", F.posexplode("features").alias("feature", "x")).groupBy("row_id", "y").agg(F.round(F.sum("x"), 6).alias("total"), F.count("*").alias("width"))
 
 
 def src_union_splits(spark, d):
     rows = emb(spark, d).select("row_id", "y")
-    train, valid = rows.filter("row_id % 5 <> 0").withColumn("split", F.lit("train")), rows.filter("row_id % 5 = 0").withColumn("split", F.lit("valid"))
-    return train.unionByName(valid)
+    return files.stacked(("train", rows.filter("row_id % 5 <> 0")), ("valid", rows.filter("row_id % 5 = 0")))
+
+
+def src_sensor_logs(spark, d):
+    """Logs of three subjects: time, the vector as sensors (negative values missing) and the label,
+    written and read back as text; features by position, the subject from the file's name."""
+    path = fresh_path(spark, "sensors")
+    values = F.concat(F.array(F.col("row_id").cast("double")), F.transform("features", lambda x: F.when(x >= 0, x)), F.array(F.col("y").cast("double")))
+    files.write_sensor_logs(emb(spark, d).select((F.col("row_id") % 3 + 1).alias("subject"), F.col("row_id").alias("line"), values.alias("values")), path)
+    logs = files.read_sensor_logs(spark, f"{path}/S*-*.dat")
+    rows = prep.drop_null_class(prep.sentinel_to_null(prep.sensor_columns(logs, 1, 64, 65)))
+    long = rows.select("subject", F.posexplode("features").alias("feature", "x"))
+    return long.groupBy("subject", "feature").agg(F.count("*").alias("n"), F.count("x").alias("present"), F.round(F.sum("x"), 4).alias("total"))
 
 
 def src_selected_read(spark, d):
@@ -81,11 +91,24 @@ def sink_client_parts(spark, d):
     return spark.read.parquet(path).groupBy(F.col("client").cast("long").alias("client")).agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
-def prep_clean_pipeline(spark, d):
-    """Sentinel to null, rows without class dropped, sparse features dropped, medians filled in."""
+def cleaned(spark, d):
+    """(kept features, rows): values missing, rows without class dropped, sparse features dropped,
+    medians filled in."""
     rows = prep.drop_null_class(emb(spark, d).withColumn("subject", F.col("row_id") % 3).withColumn("features", F.transform("features", lambda x, i: F.when((x < 0) & (i % 2 == 0), None).when((x < 0.05) & (i % 2 == 1), None).otherwise(x))))
     kept = prep.kept_features(rows)
-    out = prep.impute_median(prep.project(rows, kept))
+    return kept, prep.impute_median(prep.project(rows, kept))
+
+
+def sink_cleaned(spark, d):
+    """The cleaned matrix with its labels and subjects, written and read back."""
+    path = fresh_path(spark, "cleaned")
+    files.write_cleaned(cleaned(spark, d)[1], path)
+    back = files.read_cleaned(spark, path)
+    return back.groupBy("subject", "y").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), F.round(F.sum(F.aggregate("features", F.lit(0.0), lambda s, x: s + x)), 4).alias("total"))
+
+
+def prep_clean_pipeline(spark, d):
+    kept, out = cleaned(spark, d)
     numbers = F.array(*map(F.lit, kept)) if kept else F.array().cast("array<int>")
     return out.select("row_id", "y", F.posexplode("features").alias("i", "x")).select("row_id", "y", F.get(numbers, F.col("i")).alias("feature"), F.round("x", 6).alias("x"))
 
@@ -94,12 +117,8 @@ def given_ranges(spark):
     return spark.range(64).select(F.col("id").cast("int").alias("feature"), F.lit(-0.1).alias("mn"), F.lit(0.1).alias("mx"))
 
 
-def label_arity(spark, d):
-    return li(spark, d).agg(F.count_distinct("y").alias("classes"))
-
-
 def site_probs(spark, d):
-    rows = li_bins(spark, d)
+    rows = li(spark, d)
     return C.probabilities(C.joint_counts(rows, "client", bins=BINS), rows)
 
 
@@ -146,19 +165,35 @@ def streamed_reports(spark, d):
     return rollups.stream_of(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
 
 
-def stream_joint_counts(spark, d):
+def streamed_counts(spark, d):
     rows = rollups.stream_of(spark, d, "lineitem").select((F.col("l_suppkey") % CLIENTS).alias("client"), F.col("l_returnflag").alias("y"), F.array(F.col("l_quantity"), F.col("l_discount")).alias("features"))
     bounds = ((1.0, 50.0), (0.0, 0.1))
     binned = rows.withColumn("bins", F.array(*[bin_of(F.get("features", F.lit(i)), F.lit(a), F.lit(b), BINS) for i, (a, b) in enumerate(bounds)]))
-    return rollups.drained(rollups.running_counts(binned)).select("client", "feature", "bin", "y", "c")
+    return rollups.running_counts(binned)
+
+
+def stream_joint_counts(spark, d):
+    return rollups.drained(streamed_counts(spark, d)).select("client", "feature", "bin", "y", "c")
+
+
+def stream_information(spark, d):
+    """Information per feature, worked out again from the running counts at each batch."""
+    return rollups.drained(streamed_counts(spark, d), then=rollups.refreshed_information).select("feature", *_r("mi"))
 
 
 def stream_first_reports(spark, d):
     """Rounds by kind of event; complete once every known client has reported."""
     clients = table(spark, d, "events").select(F.col("user_id").alias("client")).filter("client IS NOT NULL").distinct()
     rows = streamed_reports(spark, d).withColumnRenamed("phase", "round")
-    first = rollups.drained(rollups.first_reports(rows, clients), "append")
-    return rollups.complete_rounds(first, clients.count())
+    first = rollups.drained(rollups.first_reports(rows, clients, "seconds"))
+    totals = first.groupBy("round").agg(F.sum("id").alias("ids"), F.round(F.sum("seconds"), 4).alias("seconds"))
+    return rollups.complete_rounds(first, clients.count()).join(totals, "round")
+
+
+def stream_json(spark, d):
+    """The sum of a JSON message's number by kind of event."""
+    rows = rollups.parsed(rollups.stream_of(spark, d, "events").select("event_type", "props"), "k INT")
+    return rollups.drained(rows.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total")))
 
 
 def stream_phase_times(spark, d):
@@ -186,6 +221,8 @@ QUERIES = {
     "select_mim_pooled": lambda s, d: select.mim(emb_bins(s, d), K, BINS).select("rank", "feature", *_r("score")),
     "src_matrix_text": src_matrix_text,
     "src_union_splits": src_union_splits,
+    "src_sensor_logs": src_sensor_logs,
+    "sink_cleaned": sink_cleaned,
     "src_selected_read": src_selected_read,
     "sink_client_parts": sink_client_parts,
     "prep_label_nonneg": lambda s, d: prep.nonnegative_label(emb(s, d).withColumn("y", F.col("y") - 3)).select("row_id", "y"),
@@ -194,28 +231,28 @@ QUERIES = {
     "prep_drop_null_class": lambda s, d: prep.drop_null_class(emb(s, d)).select("row_id", "y"),
     "prep_every_nth": lambda s, d: prep.every_nth(emb(s, d), 3, "client", "row_id").select("client", "row_id"),
     "prep_null_fraction": lambda s, d: prep.null_fractions(dirty(s, d)).select("subject", "feature", *_r("fraction")),
-    "prep_drop_sparse": lambda s, d: prep.null_fractions(dirty(s, d)).groupBy("feature").agg(F.max("fraction").alias("worst")).select("feature", (F.col("worst") <= 0.5).alias("kept")),
+    "prep_drop_sparse": lambda s, d: prep.worst_fractions(dirty(s, d)).select("feature", (F.col("worst") <= 0.5).alias("kept")),
     "prep_impute_median": lambda s, d: prep.impute_median(holed(s, d)).select("row_id", F.posexplode("features").alias("feature", "x")).select("row_id", "feature", *_r("x")),
     "prep_clean_pipeline": prep_clean_pipeline,
     "select_project_features": lambda s, d: prep.project(emb(s, d), list(PICKED)).select("row_id", F.posexplode("features").alias("place", "x")).select("row_id", "place", *_r("x")),
     "disc_equalwidth": lambda s, d: long_bins(emb_bins(s, d), "row_id"),
     "disc_given_ranges": lambda s, d: long_bins(prep.discretize(emb(s, d), BINS, given_ranges(s)), "row_id"),
-    "site_assign_join": lambda s, d: emb(s, d).drop("client").join(emb(s, d).select("row_id", (F.col("row_id") % 3).alias("client")), "row_id").groupBy("client").agg(F.count("*").alias("n"), F.sum("y").alias("total")),
+    "site_assign_join": lambda s, d: sites.assigned(emb(s, d), emb(s, d).select("row_id", (F.col("row_id") % 3).alias("client"))).groupBy("client").agg(F.count("*").alias("n"), F.sum("y").alias("total")),
     "jmi_pair_counts": lambda s, d: C.pair_counts(emb_bins(s, d), 0, bins=BINS),
     "tpr_overlap": lambda s, d: select.agreement(named(s, d, IDEAL), named(s, d, FOUND)),
     "jmi_candidates": lambda s, d: select.candidates(features_of(s, d), named(s, d, PICKED)),
     "site_label_dispersion": lambda s, d: sites.dispersion(emb(s, d)),
     "site_extremes": lambda s, d: prep.extremes(li(s, d), "client"),
     "global_ranges": lambda s, d: prep.global_ranges(prep.extremes(li(s, d), "client")),
-    "label_arity": label_arity,
-    "joint_counts": lambda s, d: C.joint_counts(li_bins(s, d), bins=BINS),
+    "label_arity": lambda s, d: prep.label_arity(li(s, d)),
+    "joint_counts": lambda s, d: C.joint_counts(li(s, d), bins=BINS),
     "joint_counts_blocks": lambda s, d: C.joint_counts(emb_bins(s, d), "client", bins=BINS, blocks=True),
     "site_joint_probs": lambda s, d: site_probs(s, d).select("client", "feature", "bin", "y", *_r("p")),
     "site_pair_probs": site_pair_probs,
-    "combine_simple": lambda s, d: C.combine(C.valid_contributions(site_probs(s, d)), CLIENTS).select("feature", "bin", "y", *_r("p")),
-    "combine_weighted": lambda s, d: C.combine(C.valid_contributions(site_probs(s, d)), CLIENTS, True).select("feature", "bin", "y", *_r("p")),
+    "combine_simple": lambda s, d: C.combine(site_probs(s, d), CLIENTS, shape=SHAPE).select("feature", "bin", "y", *_r("p")),
+    "combine_weighted": lambda s, d: C.combine(site_probs(s, d), CLIENTS, True, SHAPE).select("feature", "bin", "y", *_r("p")),
     "mi_feature_bits": lambda s, d: I.mutual_information(I.shares(C.joint_counts(emb_bins(s, d), bins=BINS), "feature")).select("feature", *_r("mi")),
-    "mi_feature_nats": lambda s, d: I.mutual_information(I.shares(C.joint_counts(li_bins(s, d), bins=BINS), "feature"), nats=True).select("feature", *_r("mi")),
+    "mi_feature_nats": lambda s, d: I.mutual_information(I.shares(C.joint_counts(li(s, d), bins=BINS), "feature"), nats=True).select("feature", *_r("mi")),
     "mi_pair_bits": mi_pair,
     "mi_gap_merge": lambda s, d: I.mutual_information(I.shares(I.merge_gaps(gapped(s, d)), "feature"), nats=True).select("feature", *_r("mi")),
     "select_mim_sites": lambda s, d: select.mim(emb_bins(s, d), K, BINS, "simple").select("rank", "feature", *_r("score")),
@@ -234,11 +271,15 @@ QUERIES = {
     "eval_class_report": lambda s, d: evaluate.class_report(eval_confusion(s, d)).select("label", *_r("precision", "recall", "f1"), "support"),
     "eval_accuracy_micro": lambda s, d: evaluate.accuracy_micro(bayes(s, d)).select(*_r("accuracy", "precision_micro", "recall_micro", "f1_micro")),
     "eval_iterations": lambda s, d: evaluate.iterate(emb(s, d), "gnb", 2, RATIO).select("iterations", *_r("mean_accuracy", "std_accuracy")),
-    "eval_rf": lambda s, d: evaluate.random_forest(split_rows(s, d), trees=20),
-    "eval_lr": lambda s, d: evaluate.logistic_regression(evaluate.scale(split_rows(s, d)), 100),
+    "eval_loop_gnb": lambda s, d: evaluate.loop(emb(s, d), "gnb", 2, RATIO, features=list(PICKED)).select("iteration", *_r("accuracy", "precision_micro", "recall_micro", "f1_micro")),
+    "eval_rf": lambda s, d: evaluate.random_forest(split_rows(s, d)),
+    "eval_lr": lambda s, d: evaluate.logistic_regression(evaluate.scale(split_rows(s, d))),
     "telemetry_phase_times": lambda s, d: telemetry.slowest(telemetry.client_phases(reports(s, d))).select("phase", *_r("seconds")),
+    "telemetry_profile": lambda s, d: telemetry.profile(reports(s, d), "signup", "view", "click", "purchase").select(*_r("load", "pre", "compute", "comm", "total", "others")),
     "telemetry_energy": lambda s, d: telemetry.total_energy(telemetry.last_energy(energy(reports(s, d)))).select("clients", *_r("kwh")),
     "stream_joint_counts": stream_joint_counts,
+    "stream_information": stream_information,
+    "stream_json": stream_json,
     "stream_first_reports": stream_first_reports,
     "stream_phase_times": stream_phase_times,
     "stream_energy": stream_energy,
@@ -294,21 +335,35 @@ g AS (SELECT * FROM f UNION ALL SELECT 'macro', avg(precision), avg(recall), avg
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM g"""
 
 
-def _iterations():
+def _rounds(n, features="true"):
+    """The tables of n iterations over some features, and a row (iteration, a: accuracy) of each."""
     parts, names = [EMB_SQL], []
-    for i in range(2):
+    for i in range(n):
         parts.append(_split(i, f"s{i}"))
-        parts.append(f"u{i} AS (SELECT row_id, y, is_test, unnest(range(0, len(features))) AS feature, unnest(features) AS x FROM s{i}), w{i} AS (SELECT feature, avg(x) AS mean, stddev_pop(x) AS std FROM u{i} WHERE NOT is_test GROUP BY feature), v{i} AS (SELECT row_id, y, is_test, feature, (x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END AS x FROM u{i} JOIN w{i} USING (feature))")
+        parts.append(f"t{i} AS (SELECT row_id, y, is_test, unnest(range(0, len(features))) AS feature, unnest(features) AS x FROM s{i}), u{i} AS (SELECT * FROM t{i} WHERE {features}), w{i} AS (SELECT feature, avg(x) AS mean, stddev_pop(x) AS std FROM u{i} WHERE NOT is_test GROUP BY feature), v{i} AS (SELECT row_id, y, is_test, feature, (x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END AS x FROM u{i} JOIN w{i} USING (feature))")
         parts.append(_gnb(f"v{i}", str(i)))
-        names.append(f"SELECT avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) AS a FROM gp{i}")
-    return f"WITH {', '.join(parts)} SELECT count(*) AS iterations, round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM ({' UNION ALL '.join(names)})"
+        names.append(f"SELECT {i} AS iteration, avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) AS a FROM gp{i}")
+    return f"WITH {', '.join(parts)}, it AS ({' UNION ALL '.join(names)})"
 
 
 _PHASES = "SELECT phase, round(max(seconds), 6) AS seconds FROM (SELECT user_id, event_type AS phase, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY phase"
 _ENERGY = "SELECT count(*) AS clients, round(sum(kwh), 6) AS kwh FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS kwh FROM events WHERE event_type = 'purchase' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id)"
 _STREAM = " UNION ALL ".join(f"SELECT l_suppkey % {CLIENTS} AS client, {i} AS feature, {bin_sql(c, a, b, BINS)} AS bin, l_returnflag AS y FROM lineitem WHERE {c} IS NOT NULL" for i, (c, a, b) in enumerate((("l_quantity", "1.0::DOUBLE", "50.0::DOUBLE"), ("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"))))
 
+_WORST = "SELECT event_type AS phase, max(seconds) AS worst, sum(seconds) AS total FROM (SELECT user_id, event_type, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY event_type"
+_PROFILE = f"""WITH w AS ({_WORST}), p AS (SELECT max(worst) FILTER (WHERE phase = 'signup') AS load, max(worst) FILTER (WHERE phase = 'view') AS pre, max(worst) FILTER (WHERE phase = 'click') AS compute, max(total) FILTER (WHERE phase = 'purchase') AS comm FROM w),
+t AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM events)
+SELECT round(load, 6) AS load, round(pre, 6) AS pre, round(compute, 6) AS compute, round(comm, 6) AS comm, round(span - load, 6) AS total, round(greatest(0, span - load - compute - comm - pre), 6) AS others FROM p, t"""
+#: The cleaned values: missing ones, rows without class and sparse features dropped, medians filled in.
+_CLEAN = f"""WITH {EMB_SQL}, h AS (SELECT row_id, row_id % 3 AS subject, y, feature, CASE WHEN feature % 2 = 0 AND x < 0 OR feature % 2 = 1 AND x < CAST(0.05 AS DOUBLE) THEN NULL ELSE x END AS x FROM el WHERE y <> 0),
+f AS (SELECT feature FROM (SELECT subject, feature, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS q FROM h GROUP BY ALL) GROUP BY feature HAVING max(q) <= 0.5), m AS (SELECT feature, median(x) AS med FROM h GROUP BY feature),
+cl AS (SELECT row_id, subject, y, feature, coalesce(x, med) AS x FROM h JOIN f USING (feature) JOIN m USING (feature))"""
+
 ORACLE = {
+    "src_sensor_logs": f"WITH {EMB_SQL} SELECT row_id % 3 + 1 AS subject, feature, count(*) AS n, count(x) FILTER (WHERE x >= 0) AS present, round(sum(x) FILTER (WHERE x >= 0), 4) AS total FROM el WHERE y <> 0 GROUP BY ALL",
+    "sink_cleaned": f"{_CLEAN} SELECT subject, y, count(DISTINCT row_id) AS n, count(DISTINCT feature) AS width, round(sum(x), 4) AS total FROM cl GROUP BY subject, y",
+    "stream_information": f"WITH c AS (SELECT feature, bin, y, count(*) AS c FROM ({_STREAM}) WHERE y IS NOT NULL GROUP BY ALL), pc AS (SELECT *, c / sum(c) OVER (PARTITION BY feature) AS p FROM c), fm AS {_mi('pc')} SELECT feature, round(mi, 6) AS mi FROM fm",
+    "stream_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INTEGER) AS k FROM events) GROUP BY event_type",
     "select_mim_pooled": f"WITH {EMB_D}, {_COUNTS}, fm AS {_mi('pc')} SELECT row_number() OVER (ORDER BY round(mi, 9) DESC, feature) AS rank, feature, round(mi, 6) AS score FROM fm ORDER BY rank LIMIT {K}",
     "src_matrix_text": f"WITH {EMB_SQL} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, y, round(list_sum(features), 6) AS total, len(features) AS width FROM emb",
     "src_union_splits": f"WITH {EMB_SQL} SELECT row_id, y, CASE WHEN row_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split FROM emb",
@@ -322,7 +377,7 @@ ORACLE = {
     "prep_null_fraction": f"WITH {_DIRTY} SELECT subject, feature, round(fraction, 6) AS fraction FROM fr",
     "prep_drop_sparse": f"WITH {_DIRTY} SELECT feature, max(fraction) <= 0.5 AS kept FROM fr GROUP BY feature",
     "prep_impute_median": f"WITH {EMB_SQL}, m AS (SELECT feature, median(x) AS med FROM el WHERE x >= 0 GROUP BY feature) SELECT row_id, feature, round(CASE WHEN x >= 0 THEN x ELSE med END, 6) AS x FROM el LEFT JOIN m USING (feature)",
-    "prep_clean_pipeline": f"WITH {EMB_SQL}, h AS (SELECT row_id, row_id % 3 AS subject, y, feature, CASE WHEN feature % 2 = 0 AND x < 0 OR feature % 2 = 1 AND x < CAST(0.05 AS DOUBLE) THEN NULL ELSE x END AS x FROM el WHERE y <> 0), f AS (SELECT feature FROM (SELECT subject, feature, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS q FROM h GROUP BY ALL) GROUP BY feature HAVING max(q) <= 0.5), m AS (SELECT feature, median(x) AS med FROM h GROUP BY feature) SELECT row_id, y, feature, round(coalesce(x, med), 6) AS x FROM h JOIN f USING (feature) JOIN m USING (feature)",
+    "prep_clean_pipeline": f"{_CLEAN} SELECT row_id, y, feature, round(x, 6) AS x FROM cl",
     "select_project_features": f"WITH {EMB_SQL} SELECT row_id, unnest([0, 1, 2]) AS place, round(unnest([{', '.join(f'features[{i + 1}]' for i in PICKED)}]), 6) AS x FROM emb",
     "disc_equalwidth": f"WITH {EMB_D} SELECT row_id, feature, bin FROM d",
     "disc_given_ranges": f"WITH {EMB_SQL} SELECT row_id, feature, {bin_sql('x', 'CAST(-0.1 AS DOUBLE)', 'CAST(0.1 AS DOUBLE)', BINS)} AS bin FROM el",
@@ -359,11 +414,13 @@ ORACLE = {
     "eval_confusion": f"WITH {_KNN} SELECT * FROM cm",
     "eval_class_report": f"WITH {_KNN}, {_REPORT}",
     "eval_accuracy_micro": f"WITH {_S}, {_gnb()}, a AS (SELECT round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS a FROM gp) SELECT a AS accuracy, a AS precision_micro, a AS recall_micro, a AS f1_micro FROM a",
-    "eval_iterations": _iterations(),
+    "eval_iterations": f"{_rounds(2)} SELECT count(*) AS iterations, round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM it",
+    "eval_loop_gnb": f"{_rounds(2, f'feature IN {PICKED}')} SELECT iteration, round(a, 6) AS accuracy, round(a, 6) AS precision_micro, round(a, 6) AS recall_micro, round(a, 6) AS f1_micro FROM it",
+    "telemetry_profile": _PROFILE,
     "telemetry_phase_times": _PHASES,
     "telemetry_energy": _ENERGY,
     "stream_joint_counts": f"SELECT client, feature, bin, y, count(*) AS c FROM ({_STREAM}) WHERE y IS NOT NULL GROUP BY ALL",
-    "stream_first_reports": "SELECT event_type AS round, count(DISTINCT user_id) AS clients, count(DISTINCT user_id) >= (SELECT count(DISTINCT user_id) FROM events) AS complete FROM events WHERE user_id IS NOT NULL GROUP BY event_type",
+    "stream_first_reports": "SELECT event_type AS round, count(*) AS clients, count(*) >= (SELECT count(DISTINCT user_id) FROM events) AS complete, CAST(sum(r.event_id) AS BIGINT) AS ids, round(sum(r.value), 4) AS seconds FROM (SELECT event_type, user_id, min({'ts': ts, 'event_id': event_id, 'value': value}) AS r FROM events WHERE user_id IS NOT NULL GROUP BY ALL) GROUP BY event_type",
     "stream_phase_times": _PHASES,
     "stream_energy": _ENERGY,
 }

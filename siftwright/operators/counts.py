@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siftwright.functions.shared import stored
+from siftwright.operators.prep import binned_values
 
 #: Rows of more features than this are counted in blocks.
 WIDE = 200
@@ -19,7 +22,8 @@ SLICE = 4096
 
 def _by_rows(rows: DataFrame, by: tuple[str, ...], j: int | None) -> DataFrame:
     other = [] if j is None else [F.get("bins", F.lit(j)).alias("bin_j")]
-    long = rows.select(*by, "y", *other, F.posexplode("bins").alias("feature", "bin")).filter("bin IS NOT NULL AND y IS NOT NULL")
+    # the outer form: else Spark infers a filter on the bins and works them out twice
+    long = rows.select(*by, "y", *other, F.posexplode_outer("bins").alias("feature", "bin")).filter("bin IS NOT NULL AND y IS NOT NULL")
     if j is None:
         return long.groupBy(*by, "feature", "bin", "y").agg(F.count("*").alias("c"))
     long = long.filter((F.col("feature") != j) & F.col("bin_j").isNotNull())
@@ -68,7 +72,11 @@ def _by_blocks(rows: DataFrame, by: tuple[str, ...], j: int | None, bins: int) -
 
 def joint_counts(rows: DataFrame, *by: str, bins: int = 5, blocks: bool | None = None) -> DataFrame:
     """(by..., feature, bin, y, c) of ``rows(by..., y, bins)``; missing bins and labels are skipped.
-    ``blocks`` picks the way; left open, the width of a row decides."""
+    ``blocks`` picks the way; left open, the width of a row decides. Rows that have ``features``
+    and no bins yet are discretized on the way, value by value."""
+    if "bins" not in rows.columns:
+        long = binned_values(rows, bins, keep=(*by, "y")).filter("bin IS NOT NULL AND y IS NOT NULL")
+        return long.groupBy(*by, "feature", "bin", "y").agg(F.count("*").alias("c"))
     return _by_blocks(rows, by, None, bins) if _wide(rows, blocks) else _by_rows(rows, by, None)
 
 
@@ -88,21 +96,37 @@ def _wide(rows: DataFrame, blocks: bool | None) -> bool:
 def probabilities(counts: DataFrame, rows: DataFrame) -> DataFrame:
     """Each client's counts over its number of rows: adds n and p."""
     sizes = rows.groupBy("client").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(sizes), "client").withColumn("p", F.col("c") / F.col("n"))  # a row per client
+    return counts.join(sizes, "client").withColumn("p", F.col("c") / F.col("n"))
 
 
-def combine(probs: DataFrame, clients: int, weighted: bool = False) -> DataFrame:
+def combine(probs: DataFrame, clients: int, weighted: bool = False, shape: dict[str, int] | None = None) -> DataFrame:
     """One table from the clients' tables; a cell a client lacks is zero there.
 
-    Simple: the sum over the number of clients. Weighted: by rows; if no client has rows, simple.
+    Simple: the sum over the number of clients that count. Weighted: by rows; if no client that
+    counts has rows, simple. ``clients`` reported; those with a contribution that is not valid are
+    left out whole, of the sums as of their number. The contributions have a row per cell and
+    client; they are stored, so what makes them runs once.
     """
+    held = stored(probs.withColumn("_valid", valid(shape)), "contributions")
+    each = held.groupBy("client").agg(F.max("n").alias("n"), F.min("_valid").alias("valid"))
+    head = each.agg(F.count_if(~F.col("valid")).alias("out"), F.sum(F.when(F.col("valid"), F.col("n"))).alias("rows")).first()
+    if head["out"]:
+        held = held.join(each.filter("valid").select("client"), "client", "left_semi")
     cell = [c for c in probs.columns if c not in ("client", "c", "n", "p")]
-    total = probs.select("client", "n").distinct().agg(F.sum("n")).first()[0] or 0
-    if weighted and total > 0:
-        return probs.groupBy(*cell).agg((F.sum(F.col("p") * F.col("n")) / F.lit(float(total))).alias("p"))
-    return probs.groupBy(*cell).agg((F.sum("p") / F.lit(float(max(clients, 1)))).alias("p"))
+    if weighted and head["rows"]:
+        return held.groupBy(*cell).agg((F.sum(F.col("p") * F.col("n")) / F.lit(float(head["rows"]))).alias("p"))
+    return held.groupBy(*cell).agg((F.sum("p") / F.lit(float(max(clients - head["out"], 1)))).alias("p"))
+
+
+def valid(shape: dict[str, int] | None = None) -> Column:
+    """Whether a row is part of a contribution that counts: it has a client, a number of rows that
+    is not negative, a probability, and, where ``shape`` tells a column's size, a cell within it."""
+    good = F.col("client").isNotNull() & F.coalesce(F.col("n") >= 0, F.lit(False)) & F.col("p").isNotNull()
+    for column, size in (shape or {}).items():
+        good &= F.coalesce((F.col(column) >= 0) & (F.col(column) < size), F.lit(False))
+    return good
 
 
-def valid_contributions(probs: DataFrame) -> DataFrame:
-    """Contributions that count: a client, and a number of rows that is not negative."""
-    return probs.filter("client IS NOT NULL AND n IS NOT NULL AND n >= 0 AND p IS NOT NULL")
+def valid_contributions(probs: DataFrame, shape: dict[str, int] | None = None) -> DataFrame:
+    """The rows that are ``valid``."""
+    return probs.filter(valid(shape))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import seeded_order
-from siftwright.operators.prep import per_feature
+from siftwright.functions.shared import stored
+from siftwright.operators.prep import per_feature, project
 from siftwright.operators.sites import global_rank
 
 #: Rows of a block in the nearest-neighbour comparison.
@@ -77,11 +79,18 @@ def nearest_neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
         out = [[], [], [], []]
         if asked.num_rows and known.num_rows:
             near, ids, labels = matrix(known, "vector"), known.column("near").to_numpy(), known.column("label").to_numpy()
-            for i, x in zip(asked.column("row_id").to_pylist(), matrix(asked, "features")):
-                d = ((near - x) ** 2).sum(1)
-                best = np.lexsort((ids, d))[:k]
-                for part, values in zip(out, (np.full(len(best), i), ids[best], labels[best], d[best])):
-                    part.append(values)
+            rows, vectors, squares = asked.column("row_id").to_pylist(), matrix(asked, "features"), (near**2).sum(1)
+            most = min(k, len(ids)) - 1
+            for at in range(0, len(rows), 256):  # a matrix product finds the few that can be nearest; these are measured
+                part_x = vectors[at : at + 256]
+                rough = squares[None] - 2 * part_x @ near.T
+                cut = np.partition(rough, most, axis=1)[:, most] + 1e-9 * (squares.max() + (part_x**2).sum(1))
+                for i, x, row, c in zip(rows[at : at + 256], part_x, rough, cut):
+                    few = np.flatnonzero(row <= c)
+                    d = ((near[few] - x) ** 2).sum(1)
+                    best = np.lexsort((ids[few], d))[:k]
+                    for part, values in zip(out, (np.full(len(best), i), ids[few[best]], labels[few[best]], d[best])):
+                        part.append(values)
         cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.zeros(0), kind)
         return pa.table({"row_id": cat(out[0], pa.int64()), "near": cat(out[1], pa.int64()), "label": cat(out[2], pa.int32()), "d": cat(out[3], pa.float64())})
 
@@ -99,7 +108,7 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def _ml(rows: DataFrame, estimator) -> DataFrame:
-    ready = _assembled(rows)
+    ready = stored(_assembled(rows), "assembled")  # fitting passes over it many times
     model = estimator.fit(ready.filter("NOT is_test"))
     return model.transform(ready.filter("is_test")).select("row_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
 
@@ -115,7 +124,7 @@ def logistic_regression(rows: DataFrame, iterations: int = 1000) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression, OneVsRest
 
     n = rows.filter("NOT is_test").count()
-    return _ml(rows, OneVsRest(featuresCol="vector", classifier=LogisticRegression(featuresCol="vector", maxIter=iterations, regParam=1 / max(n, 1), standardization=False)))
+    return _ml(rows, OneVsRest(parallelism=4, featuresCol="vector", classifier=LogisticRegression(featuresCol="vector", maxIter=iterations, regParam=1 / max(n, 1), standardization=False)))
 
 
 def confusion(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,6 +160,26 @@ def accuracy_micro(predictions: DataFrame) -> DataFrame:
 MODELS = {"gnb": gaussian_bayes, "knn": nearest_neighbours, "rf": random_forest, "lr": logistic_regression}
 
 
+def loop(rows: DataFrame, model: str = "gnb", iterations: int = 3, ratio: float = 0.3, seed: int = 0, features: list[int] | None = None) -> DataFrame:
+    """A row per iteration: (iteration, accuracy, precision_micro, recall_micro, f1_micro, macro_f1,
+    weighted_f1, seconds), over splits with seeds that follow each other, scaled by their training
+    rows. With ``features``, over these columns and plain splits, as the selection is to be judged;
+    without, over all columns and splits within each class. ``seconds`` is the wall time of fitting
+    and predicting."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model: {model}")
+    used = rows if features is None else project(rows, features)
+    each = None
+    for i in range(iterations):
+        start = time.time()
+        predictions = stored(MODELS[model](scale(split(used, ratio, seed + i, features is None))), "predictions")
+        took = time.time() - start
+        means = class_report(confusion(predictions, rows)).filter("label IN ('macro', 'weighted')").groupBy().agg(*[F.max(F.when(F.col("label") == m, F.col("f1"))).alias(f"{m}_f1") for m in ("macro", "weighted")])
+        one = accuracy_micro(predictions).join(F.broadcast(means)).select(F.lit(i).alias("iteration"), "*", F.lit(took).alias("seconds"))  # a row each
+        each = one if each is None else each.unionByName(one)
+    return each
+
+
 def iterate(rows: DataFrame, model: str = "gnb", iterations: int = 3, ratio: float = 0.3, seed: int = 0, stratified: bool = False) -> DataFrame:
     """(iterations, mean_accuracy, std_accuracy) over splits with seeds that follow each other."""
     if model not in MODELS:

@@ -34,4 +34,4 @@ def merge_gaps(counts: DataFrame) -> DataFrame:
     step = (F.col("mx") - F.col("mn")) / F.col("arity")
     edges = F.aggregate(F.sequence(F.lit(1), F.col("arity")), F.lit(0), lambda s, i: s + F.when(F.col("bin") >= F.col("mn") + i * step, 1).otherwise(0))
     cell = F.when(F.col("mn") == F.col("mx"), 0).otherwise(F.least(edges, F.col("arity") - 1)).cast("int")
-    return counts.join(F.broadcast(seen), "feature").withColumn("bin", cell).groupBy("feature", "bin", "y").agg(F.sum("c").alias("c"))
+    return counts.join(seen, "feature").withColumn("bin", cell).groupBy("feature", "bin", "y").agg(F.sum("c").alias("c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import bin_of
+from siftwright.operators.sites import global_rank
 
 
 def nonnegative_label(rows: DataFrame) -> DataFrame:
@@ -13,10 +14,10 @@ def nonnegative_label(rows: DataFrame) -> DataFrame:
 
 def relabel(rows: DataFrame, label: str = "y") -> DataFrame:
     """Labels become their ranks, from 0. The distinct labels are one row each, so the window over
-    them is small whatever the table's size; null labels stay null."""
+    them is as large as there are classes; null labels stay null."""
     ranks = rows.select(F.col(label).alias("_label")).filter("_label IS NOT NULL").distinct()
     ranks = ranks.withColumn("_rank", F.row_number().over(Window.orderBy("_label")) - 1)
-    out = rows.join(F.broadcast(ranks), rows[label] == F.col("_label"), "left")
+    out = rows.join(ranks, rows[label] == F.col("_label"), "left")
     return out.select(*[F.col("_rank").alias(label) if c == label else rows[c] for c in rows.columns])
 
 
@@ -34,11 +35,14 @@ def drop_null_class(rows: DataFrame) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    """Rows 1, n+1, 2n+1, ... of each group ``by``."""
+    """Rows 1, n+1, 2n+1, ... of each group ``by``. Rows are numbered by one range sort of all of
+    them, less the number of the group's first, so a large group needs no one task."""
     if n == 1:
         return rows
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("_place", place).filter(F.col("_place") % n == 0).drop("_place")
+    placed = global_rank(rows, by, order, name="_place")
+    firsts = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first"))
+    near = placed.join(firsts, placed[by].eqNullSafe(firsts["_by"]))
+    return near.filter((F.col("_place") - F.col("_first")) % n == 0).select(rows.columns)
 
 
 def null_fractions(rows: DataFrame, by: str = "subject") -> DataFrame:
@@ -46,12 +50,21 @@ def null_fractions(rows: DataFrame, by: str = "subject") -> DataFrame:
     return rows.select(by, F.posexplode("features").alias("feature", "x")).groupBy(by, "feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("fraction"))
 
 
+def worst_fractions(rows: DataFrame, by: str = "subject") -> DataFrame:
+    """(feature, worst): the largest fraction that some subject lacks."""
+    return null_fractions(rows, by).groupBy("feature").agg(F.max("fraction").alias("worst"))
+
+
 def kept_features(rows: DataFrame, by: str = "subject", most: float = 0.5) -> list[int]:
     """Features of which no subject lacks more than ``most``; one number per feature is collected."""
-    worst = null_fractions(rows, by).groupBy("feature").agg(F.max("fraction").alias("worst")).filter(F.col("worst") <= most)
+    worst = worst_fractions(rows, by).filter(F.col("worst") <= most)
     return sorted(r["feature"] for r in worst.select("feature").collect())
 
 
+def label_arity(rows: DataFrame, label: str = "y") -> DataFrame:
+    return rows.agg(F.count_distinct(label).alias("classes"))
+
+
 def project(rows: DataFrame, features: list[int]) -> DataFrame:
     """The listed features, in the order of the list; an index out of range is an error."""
     width = rows.agg(F.min(F.size("features"))).first()[0] or 0
@@ -93,6 +106,15 @@ def global_ranges(local: DataFrame) -> DataFrame:
     return local.groupBy("feature").agg(F.coalesce(F.min("mn"), F.lit(0.0)).alias("mn"), F.coalesce(F.max("mx"), F.lit(0.0)).alias("mx"))
 
 
+def binned_values(rows: DataFrame, bins: int = 5, ranges: DataFrame | None = None, keep: tuple[str, ...] = ("y",)) -> DataFrame:
+    """(keep..., feature, bin): a row per value, with plain columns throughout, so that all of it is
+    compiled. Ranges are the data's own unless ``ranges(feature, mn, mx)`` gives them; there is one
+    per place in a row, so they fit wherever a row does."""
+    long = rows.select(*keep, F.posexplode("features").alias("feature", "x"))
+    known = F.broadcast((extremes(rows) if ranges is None else ranges).select("feature", "mn", "mx"))
+    return long.join(known, "feature", "left").select(*keep, "feature", bin_of(F.col("x"), F.col("mn"), F.col("mx"), bins).alias("bin"))
+
+
 def discretize(rows: DataFrame, bins: int = 5, ranges: DataFrame | None = None) -> DataFrame:
     """Adds ``bins``, the equal-width bin of each feature, and drops ``features``.
 

@@ -25,6 +25,11 @@ def global_rank(rows: DataFrame, *order: Column | str, name: str = "place") -> D
     return line.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_id", "_part", "_at", "_before", "_n")
 
 
+def assigned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` with the client that ``owners(row_id, client)`` names; others are left out."""
+    return rows.drop("client").join(owners.select("row_id", "client"), "row_id")
+
+
 def iid(rows: DataFrame, clients: int, seed: int = 0) -> DataFrame:
     """Equal shares in a seeded random order; what does not divide gets no client and is left out."""
     share = rows.count() // clients

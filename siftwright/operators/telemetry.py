@@ -20,6 +20,19 @@ def other_time(total: float, compute: float, comm: float, pre: float, agg: float
     return max(0.0, max(0.0, total - compute - comm - pre) - agg - mi)
 
 
+def profile(reports: DataFrame, load: str = "load", pre: str = "pre", compute: str = "compute", comm: str = "comm") -> DataFrame:
+    """One row of a run's times: those of loading, preparing and computing are the slowest client's,
+    that of sending is the sum, and ``others`` is what they leave of the run, from the first report
+    to the last and without loading. ``reports(client, phase, seconds, ts)``."""
+    phases = client_phases(reports)
+    worst = lambda name: F.coalesce(F.max(F.when(F.col("phase") == name, F.col("seconds"))), F.lit(0.0))
+    times = phases.agg(worst(load).alias("load"), worst(pre).alias("pre"), worst(compute).alias("compute"), F.coalesce(F.sum(F.when(F.col("phase") == comm, F.col("seconds"))), F.lit(0.0)).alias("comm"))
+    span = reports.agg(((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("span"))
+    total = (F.coalesce("span", F.lit(0.0)) - F.col("load")).alias("total")
+    both = times.join(F.broadcast(span)).select("load", "pre", "compute", "comm", total)  # a row each
+    return both.withColumn("others", F.greatest(F.lit(0.0), F.col("total") - F.col("compute") - F.col("comm") - F.col("pre")))
+
+
 def last_energy(reports: DataFrame) -> DataFrame:
     """(client, kwh) of each client's last report; later ids win ties in time."""
     good = reports.filter("client IS NOT NULL AND kwh IS NOT NULL")

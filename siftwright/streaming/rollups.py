@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,18 +17,20 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream gives once all its input is in, kept as a Parquet table of the last state."""
+def drained(stream: DataFrame, mode: str = "complete", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What a stream gives once all its input is in, kept as a Parquet table of the last state. With
+    ``then``, each batch keeps what that makes of the state."""
     spark = stream.sparkSession
     path = fresh_path(spark, "stream")
+    made = then or (lambda batch: batch)
 
     def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        made(batch).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, "offsets")).trigger(availableNow=True).foreachBatch(keep)
     query = writer.queryName(f"q{uuid.uuid4().hex}").start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.parquet(path) if then else spark.read.schema(stream.schema).parquet(path)
 
 
 def running_counts(rows: DataFrame) -> DataFrame:
@@ -41,11 +44,17 @@ def refreshed_information(counts: DataFrame) -> DataFrame:
     return mutual_information(shares(counts.groupBy("feature", "bin", "y").agg(F.sum("c").alias("c")), "feature"))
 
 
-def first_reports(reports: DataFrame, clients: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(client, round): the first report of each known client in each round. Keys are kept until
-    the watermark passes them."""
-    known = reports.join(F.broadcast(clients), "client", "left_semi")  # a row per client
-    return known.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["round", "client"]).select("client", "round")
+def parsed(messages: DataFrame, schema: str, payload: str = "props") -> DataFrame:
+    """The fields of JSON messages as columns; one that does not parse has nulls."""
+    return messages.withColumn("_m", F.from_json(payload, schema)).select(*[c for c in messages.columns if c != payload], "_m.*")
+
+
+def first_reports(reports: DataFrame, clients: DataFrame, *fields: str) -> DataFrame:
+    """(client, round, id, fields...): the first report, by time and then id, of each known client in
+    each round, whatever the order in which reports arrive. The state is a row per client and round."""
+    known = reports.join(clients, "client", "left_semi")
+    first = F.min(F.struct("ts", "id", *fields)).alias("_first")
+    return known.groupBy("client", "round").agg(first).select("client", "round", *[F.col("_first")[c].alias(c) for c in ("id", *fields)])
 
 
 def complete_rounds(first: DataFrame, expected: int) -> DataFrame:

@@ -111,3 +111,71 @@ def test_errors_and_scaling(spark):
     with pytest.raises(ValueError):
         select.select(rows, "other", 1)
     assert telemetry.other_time(10, 3, 2, 1, 1, 1) == 2 and telemetry.other_time(1, 3, 2, 1) == 0
+
+
+def test_unequal_files(spark, tmp_path):
+    (tmp_path / "d").write_text("1 2\n3 4\n5 6\n")
+    (tmp_path / "l").write_text("1\n0\n")
+    with pytest.raises(ValueError, match="3 lines of data, 2 labels"):
+        files.read_matrix(spark, str(tmp_path / "d"), str(tmp_path / "l"))
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    """Many splits, and files whose sizes do not follow their names."""
+    folder = tmp_path / "f"
+    folder.mkdir()
+    lines = [str(i) for i in range(5000)]
+    (folder / "part-0").write_text("\n".join(lines[:100]) + "\n")
+    (folder / "part-1").write_text("\n".join(lines[100:]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = files.numbered_lines(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["line_no"], r["value"]) for r in got) == [(i, x) for i, x in enumerate(lines)]
+
+
+def test_pair_that_a_client_lacks_is_out(spark):
+    """Feature 2 would be chosen, but client 1 has none of its values."""
+    rows = [(i, i % 2, (i // 2) % 2, [(i // 4) % 2, (i // 2 + i // 4) % 2, (i // 2) % 2 if i % 2 == 0 else None]) for i in range(64)]
+    table = spark.createDataFrame(rows, "row_id long, client long, y int, bins array<int>")
+    assert 2 in [r["feature"] for r in select.jmi(table, 3).collect()]
+    probs = C.probabilities(C.pair_counts(table, 0, "client"), table)
+    assert {r["k"] for r in select.complete_pairs(probs, 2).select("k").distinct().collect()} == {1}
+    chosen = [r["feature"] for r in select.jmi(table, 3, combined="simple").collect()]
+    assert chosen[0] == 2 or 2 not in chosen  # it may start, by its own table, but no pair holds it
+
+
+def test_contributions_that_do_not_count(spark):
+    """A client whose table is out of shape, or without rows, leaves the sums and the divisor."""
+    rows = [("a", 1, 0, 0, 0, 1.0), ("b", 3, 0, 0, 0, 0.5), ("b", 3, 0, 1, 1, 0.5), ("c", 4, 0, 0, 0, 0.5), ("c", 4, 0, 9, 0, 0.5), ("d", -1, 0, 0, 0, 1.0)]
+    probs = spark.createDataFrame(rows, "client string, n long, feature int, bin int, y int, p double")
+    of = lambda w: {r["bin"]: r["p"] for r in C.combine(probs, 4, w, {"bin": 5}).collect()}
+    assert of(False) == pytest.approx({0: 0.75, 1: 0.25}) and of(True) == pytest.approx({0: 0.625, 1: 0.375})
+
+
+def test_values_are_binned_as_rows_are(spark):
+    rows = spark.createDataFrame([(i % 3, i % 2, [float(i), None if i % 5 == 0 else float(i * i % 17), 3.0]) for i in range(60)], "client int, y int, features array<double>")
+    long, wide = C.joint_counts(rows, "client"), C.joint_counts(prep.discretize(rows), "client")
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, wide.select(long.columns).collect()))
+
+
+def test_first_report_wins(spark):
+    from siftwright.streaming import rollups
+
+    rows = [(3, "2024-01-01 00:00:05", 1, "a", 5.0), (2, "2024-01-01 00:00:01", 1, "a", 7.0), (1, "2024-01-01 00:00:01", 2, "a", 1.0), (4, "2024-01-01 00:00:01", 1, "b", 2.0), (5, "2024-01-01 00:00:00", 9, "a", 9.0)]
+    reports = spark.createDataFrame(rows, "id long, ts string, client long, round string, seconds double").withColumn("ts", F.col("ts").cast("timestamp"))
+    known = spark.createDataFrame([(1,), (2,)], "client long")
+    got = {(r["round"], r["client"]): (r["id"], r["seconds"]) for r in rollups.first_reports(reports, known, "seconds").collect()}
+    assert got == {("a", 1): (2, 7.0), ("a", 2): (1, 1.0), ("b", 1): (4, 2.0)}
+
+
+@pytest.mark.parametrize("model", ["rf", "lr", "knn", "gnb"])
+def test_models_on_held_out_rows(spark, model):
+    """Two classes that a line divides but for some noise: each model tells them on held-out rows."""
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(600, 4))
+    rows = matrix(spark, [(int(a[0] + a[1] > 0), a.tolist()) for a in x])
+    out = evaluate.loop(rows, model, 1, 0.3, features=[0, 1, 2]).first()
+    assert out["accuracy"] >= 0.88 and out["macro_f1"] >= 0.88 and out["seconds"] > 0, out
