@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: One temporary folder per application, for sessions whose cluster names no shared folder.
-_own_dirs: dict[str, str] = {}
+from siftwright.functions.shared import shared_dir, stored
+
+__all__ = ["crc_of", "cut", "keep_texts", "map_texts", "parallelism", "shared_dir", "stored", "table", "whole_runs"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, is a temporary folder made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        named = _own_dirs[app]
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materializes ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -41,15 +25,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: columnar, so cheaper than
-    a checkpoint for wide rows of which later steps want few columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
