@@ -218,7 +218,7 @@ def test_near_pairs(spark):
     near = edit_fingerprint.edit_distance
     some = [i for i, t in enumerate(texts) if t and len(t) > 9]
     brute = {(a, b) for a, b in combinations(some, 2) if 1 - near(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) >= 0.8}
-    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(docs_of(spark, texts)).collect() if r["a"] in some}
+    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(docs_of(spark, texts), 0.8).collect() if r["a"] in some}
     assert got == brute == {(11, 20), (14, 21), (17, 22), (8, 23), (3, 29)} | {p for p in brute if 24 in p}
     assert edit_fingerprint.similarity("abcde", "abcd", 0.8) == 0.8
 
@@ -327,3 +327,92 @@ def test_near_neighbours_odd(spark):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(table, k=4).collect()}
     assert got == {(0, 1): (8, 2.0), (0, 2): (8, 1.0), (0, 3): (1, 0.5), (0, 4): (2, 0.0), (20, 1): (2, 1.0), (20, 2): (8, 1.0), (20, 3): (0, 0.0), (20, 4): (1, 0.0)}
     assert ann.search(table.limit(0)).count() == 0
+
+
+def test_near_pairs_recall(spark):
+    """Texts with scattered edits of a tenth or less: nine in ten links or more are found; repeated
+    ids lose nothing."""
+    rng = np.random.default_rng(4)
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect() if r["text"] and 300 < len(r["text"]) < 2500][:60]
+    rows = []
+    for i, text in enumerate(texts):
+        chars = list(text)
+        for at in rng.choice(len(chars), int(len(chars) * rng.uniform(0.01, 0.095)), replace=False):
+            chars[at] = ("#", "", chars[at] + "+")[rng.integers(3)]
+        rows += [(2 * i, text), (2 * i + 1, "".join(chars))]
+    rows += [(2, rows[1][1] + "!")]  # one more text under an id that is taken
+    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.mean([(2 * i, 2 * i + 1) in got for i in range(len(texts))])
+    print("recall", found)
+    assert found >= 0.9 and {(0, 2), (1, 2)} & got
+
+
+def test_edited_texts(spark):
+    """with_edits against a plain loop over the whole table, odd rows included."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(docs_of(spark, ODD).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    want = {}
+    for i, (doc_id, text) in enumerate(rows):
+        follower, m = rows[(i + 1) % len(rows)][1], len(text) // 3
+        edited = text[: len(text) - m] + follower[:m]
+        f = [edit_fingerprint.fingerprint(x) for x in (text, edited, follower)]
+        want[doc_id] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), f[0], f[1], edit_fingerprint.likeness(f[0], f[1]), edit_fingerprint.likeness(f[0], f[2]))
+    got = {r["doc_id"]: tuple(r)[1:] for r in edit_fingerprint.with_edits(docs).collect()}
+    assert got == want
+    assert edit_fingerprint.with_edits(docs.limit(0)).count() == 0
+    a, b = rows[3][1], rows[9][1]
+    table = np.arange(len(b[:300]) + 1)
+    for i, x in enumerate(a[:300]):
+        new = [i + 1]
+        for j, y in enumerate(b[:300]):
+            new.append(min(table[j] + (x != y), table[j + 1] + 1, new[j] + 1))
+        table = np.array(new)
+    assert edit_fingerprint.edit_distance(a[:300], b[:300]) == table[-1] and edit_fingerprint.edit_distance(a[:300], b[:300], 5) > 5
+
+
+def test_packing_long(spark):
+    """Lengths past the exact part of the histogram, against brute force over all choices."""
+    rng = np.random.default_rng(2)
+    lengths = [int(x) for x in rng.choice(np.arange(1, 60_000), 9, replace=False)] + [70_001, 131_075, 131_077]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)] + [(None, 7)] * 40, "doc_id long, n long").withColumn("text", F.lit(None).cast("string"))
+    out = packing.pack(docs, F.col("n"), budget=200_000, buckets=4).toPandas()
+    assert sorted(out["n_tokens"]) == sorted(lengths + [7] * 40) and (out["pad"] >= 0).all()
+    points, counts = np.unique(lengths + [7] * 40, return_counts=True)
+    best = min(sum((min(b for b in (*inner, points[-1]) if b >= n) - n) * c for n, c in zip(points, counts)) for inner in combinations(points[:-1], 3))
+    assert out["pad"].sum() == best
+
+
+def test_network_over_naive_convolution():
+    """Pooled values of the scorer's tables, and of training, against a plain loop."""
+    net = quality.Network(np.random.default_rng(3))
+    text = "naïve text " * 120
+    raw, step = text.encode(), quality.CHUNK - quality.OVERLAP
+    chunks = quality.chunks_of(raw)
+    assert b"".join(bytes(c[:step].astype(np.uint8).tobytes()) for c in chunks)[: len(raw) - 200] == raw[: len(raw) - 200]
+    naive = np.array([[max(sum(net.weights[k, c[at + k], f] for k in range(quality.WIDTH)) for at in range(0, quality.CHUNK - quality.WIDTH + 1)) for f in range(quality.FILTERS)] for c in chunks[:2]])
+    naive = np.maximum(naive + net.bias, 0)
+    assert np.allclose(net.pooled(chunks[:2])[0], naive, atol=1e-4) and np.allclose(quality.Scorer(net).pooled(chunks[:2]), naive, atol=1e-4)
+    whole = np.concatenate([net.pooled(chunks)[0]])
+    assert abs(quality.Scorer(net).score(text) - 1 / (1 + np.exp(-net.logit(whole)))) < 1e-5
+
+
+def test_language_by_direct_sizes(spark):
+    """Decisions against sizes taken without prepared dictionaries; rare labels are learned."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(i, "xyzzy plugh frotz nitfol rezrov " * 3, "rare") for i in range(10_001, 10_006)], "doc_id long, text string, lang string")
+    content = language_id.dictionaries(docs.unionByName(rare))
+    assert "rare" in content and all(len(c) <= language_id.DICT_BYTES for c in content.values())
+    sizes = language_id.Sizes(content)
+    for r in docs.limit(30).collect():
+        text, direct = r["text"] or "", []
+        for lang in sizes.langs:
+            use = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=use, write_checksum=False, write_content_size=False, write_dict_id=False)
+            direct.append(sum(len(one.compress(text[at : at + language_id.BLOCK].lower().encode())) for at in range(0, len(text), language_id.BLOCK)))
+        told, score = sizes.decide(r["text"])
+        if any(map(str.isalpha, text)) and sorted(direct)[1] - min(direct) > 8:
+            assert told == sizes.langs[int(np.argmin(direct))]
+    assert sizes.decide("xyzzy plugh frotz rezrov nitfol xyzzy frotz")[0] == "rare"
+    assert language_id.dictionaries(docs.limit(0)) == {}
