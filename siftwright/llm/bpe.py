@@ -17,13 +17,13 @@ import json
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from siftwright.llm.common import map_texts
+
 #: Characters of text whose words are encoded together, and the size at which a task forgets words.
 BLOCK_CHARS, KNOWN_WORDS = 1_000_000, 300_000
 
@@ -60,6 +60,11 @@ class Vocabulary:
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.word_pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
 
+    def text_of(self, ids) -> str:
+        """What ids decode to: the tokens, a space between, as the library joins them for a file
+        without a decoder. An id outside the vocabulary is left out."""
+        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+
 
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable
@@ -146,14 +151,15 @@ def pieces(text: str, chars: int = BLOCK_CHARS) -> Iterator[str]:
 
 
 class Encoder:
-    """Encodes text by text for one task; remembers the words that it has met."""
+    """Encodes text by text for one task; remembers the words that it has met: of each its ids, the
+    ids in decimal, and what they decode to."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.words = regex.compile(vocab.word_pattern).findall
         marks = sorted(vocab.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def lowered(self, text: str) -> str:
         if text.isascii():
@@ -180,16 +186,13 @@ class Encoder:
             fresh = set().union(*lists)
         special = {w for w in fresh if w[0] == "\0" and w[1:] in self.vocab.special}
         plain = sorted(fresh - special)
-        self.known.update(zip(plain, encode_words(plain, self.vocab)))
-        self.known.update((w, (self.vocab.special[w[1:]],)) for w in special)
-
-    def ids(self, words: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        for words, ids in ((plain, encode_words(plain, self.vocab)), (special, ((self.vocab.special[w[1:]],) for w in special))):
+            self.known.update((w, (i, " ".join(map(str, i)), self.vocab.text_of(i))) for w, i in zip(words, ids))
 
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text or "")
         self.learn([words])
-        return self.ids(words)
+        return [i for w in words for i in self.known[w][0]]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -199,75 +202,61 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     no care.
     """
     vocab = Vocabulary(path)
-
-    def run(batches):
-        encoder = Encoder(vocab)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encoder.encode(t) for t in pdf["text"]]})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return map_texts(docs, lambda: lambda texts, e=Encoder(vocab): [pa.array(map(e.encode, texts), pa.list_(pa.int32()))], "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Text of ``encoded(doc_id, ids)``: the tokens, a space between, as the library joins them
-    for a file without a decoder. Null ids are none. An id outside the vocabulary is left out."""
+    """doc_id and text of ``encoded(doc_id, ids)``: see ``Vocabulary.text_of``. Null ids are none."""
     vocab = Vocabulary(path)
 
     def run(batches):
-        for pdf in batches:
-            texts = [" ".join(vocab.tokens[i] for i in (ids if ids is not None else ()) if i in vocab.tokens) for ids in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
+        for batch in batches:
+            texts = [vocab.text_of(ids or ()) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Number of ids, digest of the ids and of the text decoded from them, for each row.
 
+    A null text is empty. Rows are independent: repeated ids, ties and empty tables need no care.
     Ids and decoded texts never leave the task: digests grow piece by piece, so a long text costs
     the memory of one piece.
     """
     vocab = Vocabulary(path)
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches):
+    def make():
         encoder = Encoder(vocab)
-        decimal = {i: str(i) for i in vocab.tokens}
-        for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
+
+        def told(lists: list[list[str]]):
+            """Number, decimals and decoded text of the ids of each list of words."""
+            encoder.learn(lists)
+            for words in lists:
+                known = [encoder.known[w] for w in words]
+                yield sum([len(k[0]) for k in known]), *(" ".join([k[x] for k in known]) for x in (1, 2))
+
+        def work(texts):
             out: list[tuple[int, str, str]] = []
             waiting: list[str] = []
             size = 0
 
             def settle():
                 """Digests of the texts that wait; together they are about one block."""
-                lists = [encoder.split(t) for t in waiting]
-                encoder.learn(lists)
-                for words in lists:
-                    ids = encoder.ids(words)
-                    out.append((
-                        len(ids),
-                        hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
-                        hashlib.sha256(" ".join(map(vocab.tokens.__getitem__, ids)).encode()).hexdigest(),
-                    ))
+                out.extend((n, *(hashlib.sha256(x.encode()).hexdigest() for x in said)) for n, *said in told([encoder.split(t) for t in waiting]))
                 waiting.clear()
 
-            for value in texts:
-                text = value.as_py() or ""
+            for text in texts:
+                text = text or ""
                 if len(text) > BLOCK_CHARS:
                     settle()
-                    size, total = 0, 0
-                    hashes = hashlib.sha256(), hashlib.sha256()
+                    size, total, hashes = 0, 0, (hashlib.sha256(), hashlib.sha256())
                     for piece in pieces(text):
-                        words = encoder.split(piece)
-                        encoder.learn([words])
-                        ids = encoder.ids(words)
-                        for h, names in zip(hashes, (decimal, vocab.tokens)):
-                            if ids:
-                                h.update(((" " if total else "") + " ".join(map(names.__getitem__, ids))).encode())
-                        total += len(ids)
+                        for n, *said in told([encoder.split(piece)]):
+                            for h, x in zip(hashes, said):
+                                h.update(((" " if total and n else "") + x).encode())
+                            total += n
                     out.append((total, hashes[0].hexdigest(), hashes[1].hexdigest()))
                     continue
                 waiting.append(text)
@@ -277,9 +266,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     size = 0
             settle()
             n, a, b = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+
+        return work
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import re
 from itertools import combinations
 
 import duckdb
@@ -85,6 +86,11 @@ def test_chat(spark):
     assert got[1]["turns_sha256"] == hashlib.sha256("user\na<[\\x\nassistant\n</s>[INST]\n".encode()).hexdigest() and got[1]["valid"]
     assert got[1]["loss_sha256"] == hashlib.sha256(b"</s>[INST]").hexdigest() and not got[2]["valid"]
     assert got[3]["turns_sha256"] == hashlib.sha256(b"odd<role\nt\n").hexdigest()
+    for r in chat_format.formatted(chat_format.with_trap(rows)).collect():
+        assert r["formatted"] == "".join(s["text"] for s in r["segments"])
+        if r["conv_id"] == chat_format.TRAP[0]:
+            assert [s["text"].replace("<\\", "<").replace("[\\", "[") for s in r["segments"] if s["loss"]] == [chat_format.TRAP[1]] and r["valid"]
+    assert chat_format.digests(rows.limit(0)).count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -130,6 +136,27 @@ def test_bpe(spark):
         ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(" ".join(map(str, ids)))), r["doc_id"]
         assert r["decoded_sha256"] == sha(tok.decode(ids, skip_special_tokens=False))
+    some = docs.filter("doc_id % 7 = 0")
+    encoded = bpe.encode(some, path)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(encoded, path).collect()}
+    for r in encoded.collect():
+        assert list(r["ids"]) == tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids and back[r["doc_id"]] == tok.decode(list(r["ids"]), skip_special_tokens=False)
+    assert bpe.digests(docs.limit(0), path).count() == 0 and bpe.encode(docs.limit(0), path).count() == 0
+
+
+def test_bpe_in_pieces(spark, monkeypatch):
+    """A text longer than a block, and a memory that is often cleared, give the same digests."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(20).collect()]
+    vocab = bpe.Vocabulary(path)
+    plain = [bpe.Encoder(vocab).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
+    monkeypatch.setattr(bpe, "map_texts", lambda docs, make, fields: [c.to_pylist() for c in make()(iter(texts))])
+    monkeypatch.setattr(bpe, "pieces", lambda text, own=bpe.pieces: own(text, 50))
+    n, ids, _ = bpe.digests(None, path)
+    assert n == [len(x) for x in plain] and ids == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in plain]
 
 
 def test_near_neighbours(spark):
@@ -416,3 +443,52 @@ def test_language_by_direct_sizes(spark):
             assert told == sizes.langs[int(np.argmin(direct))]
     assert sizes.decide("xyzzy plugh frotz rezrov nitfol xyzzy frotz")[0] == "rare"
     assert language_id.dictionaries(docs.limit(0)) == {}
+
+
+def test_pipeline(spark):
+    """What the pipeline returns, against plain loops over each stage's own input."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scorer = quality.Scorer(quality.train(source, labels))
+    kept = {r["doc_id"]: r["text"] for r in source.collect() if scorer.score(r["text"]) >= 0.5}
+    sizes = language_id.Sizes(language_id.dictionaries(source.filter(F.col("doc_id").isin(list(kept)))))
+    kept = {i: t for i, t in kept.items() if sizes.decide(t)[1] >= language_id.REJECT_BELOW}
+    sets = {i: set(near_dedup.shingles_of(t, 5).tolist()) for i, t in kept.items()}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    kept = {i: t for i, t in kept.items() if label[i] == i}
+
+    def clean(text):
+        spans = []
+        for rule in secret_scan.BASE + secret_scan.MORE:
+            spans += [m.span() for m in re.finditer(rule.regex, text) if len(m.group(rule.group)) >= rule.least]
+        out, at = "", 0
+        for start, end in sorted(spans):
+            if start >= at:
+                out += text[at:start] + "[secret]"
+            at = max(at, end)
+        return out + text[at:]
+
+    count = {i: len(clean(t or "").encode().split()) for i, t in kept.items()}
+    out = corpus_pipeline.run(spark, SMALL).toPandas()
+    assert dict(zip(out["doc_id"], out["n_tokens"])) == count and len(out) == len(count) > 50
+    points = sorted(set(count.values()))
+    lengths = np.array(sorted(count.values()))
+    assert set(out["boundary"]) <= set(points) and (out["pad"] >= 0).all() and not out.duplicated(["batch_id", "slot"]).any()
+    one = {n: packing.boundaries([(int(p), int((lengths == p).sum()), int(p * (lengths == p).sum())) for p in points], n) for n in (packing.BUCKETS,)}[packing.BUCKETS]
+    assert sorted(set(out["boundary"])) == one
+    batches = out.groupby("batch_id").agg(n=("slot", "size"), b=("boundary", "max"))
+    assert ((batches["n"] * batches["b"] <= packing.TOKEN_BUDGET) | (batches["n"] == 1)).all()
+
+
+def test_pipeline_odd_rows(spark):
+    """Each stage on null, empty, long and repeated rows, clashing columns, and no rows."""
+    docs = docs_of(spark, ODD).withColumns({"lang": F.lit("x"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1), "secrets": F.lit(1)})
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SMALL)
+            assert out.count() <= rows.count() and (name == "packing" or out.columns == rows.columns)
