@@ -13,18 +13,28 @@ from siftwright.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    A null or empty text is scored as padding, like any other. Rows are judged one by one, so those
+    that repeat or have no id need no care; a score of exactly a half is kept. No rows give none.
+    """
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear."""
+    """Documents whose language is clear.
+
+    A text that is null or has no letter has no language and goes; so does a tie. Rows are judged one
+    by one. No rows, or none with a label, give none.
+    """
     return language_id.accepted(docs, language_id.dictionaries(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: shingles of five words, similarity 0.8.
 
+    Rows whose text is null, empty or without words stay, all of them. No rows give none.
+
     It is the row with the smallest doc_id, a null one last. Rows are told apart by numbers of
     their own, stored with them, so rows that repeat an id, or have none, are kept or dropped each
     for itself.
@@ -36,13 +46,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by a mark."""
+    """All documents, with the secrets in their texts replaced by a mark; a null text stays null."""
     clean = secret_scan.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a batch for each document."""
+    """A place in a batch for each document, null and empty texts (of length 0) included."""
     return packing.pack(docs)
 
 
