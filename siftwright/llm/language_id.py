@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from siftwright.llm.common import crc_of, keep_texts, map_texts, table
 
 #: Bytes of a dictionary; pieces of a sampled document that go into it, and characters of each.
-DICT_BYTES, PIECES, PIECE_CHARS = 64_000, 8, 120
+DICT_BYTES, PIECES, PIECE_CHARS = 200_000, 4, 240
 #: Documents sampled for each language, and sampled ids that may be broadcast.
 SAMPLE_ROWS, BROADCAST_ROWS = 200, 100_000
 #: Characters of text that are compressed together; level of compression.
@@ -26,6 +26,11 @@ HALF_MARGIN, REJECT_BELOW = 0.02, 0.2
 UNDETERMINED = "und"
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of the rows that may be learned from."""
+    return docs.select("doc_id", "text", "lang").filter((crc_of("doc_id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def sample(docs: DataFrame) -> DataFrame:
     """Training sample: of each language, the SAMPLE_ROWS documents first in hash order. Of each of
     them, pieces at places that a hash chooses anywhere in it, or all of a text that is no longer.
@@ -35,7 +40,7 @@ def sample(docs: DataFrame) -> DataFrame:
     shuffle). The sample, and so what the driver holds, grows with the number of languages only;
     its ids are broadcast if they are at most BROADCAST_ROWS.
     """
-    known = docs.select("doc_id", "text", "lang").filter((crc_of("doc_id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = learnable(docs)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_ROWS)
     chosen = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "rank")
@@ -49,21 +54,23 @@ def sample(docs: DataFrame) -> DataFrame:
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Raw dictionary content by language; every label is learned. An empty table gives none."""
+    """Raw dictionary content by language, those with the most documents to learn from first; every
+    label is learned. An empty table gives none."""
     rows = sorted((r["lang"], r["rank"], r["text"]) for r in sample(docs).collect())
-    out: dict[str, bytearray] = {}
+    counts = learnable(docs).groupBy("lang").count().collect()
+    out: dict[str, bytearray] = {r["lang"]: bytearray() for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))}
     for lang, _, text in rows:
-        own = out.setdefault(lang, bytearray())
+        own = out[lang]
         if len(own) < DICT_BYTES:
             own += text.lower().encode("utf-8", "replace") + b"\n"
     return {k: bytes(v[:DICT_BYTES]).decode("utf-8", "ignore").encode("utf-8") for k, v in out.items()}
 
 
 class Sizes:
-    """Compressed sizes of a text under each dictionary."""
+    """Compressed sizes of a text under each dictionary, in the order of ``content``."""
 
     def __init__(self, content: dict[str, bytes]):
-        self.langs = sorted(content)
+        self.langs = list(content)
         self.by: list[zstandard.ZstdCompressor] = []
         for lang in self.langs:
             prepared = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -95,7 +102,7 @@ def predict(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every whole text of ``docs(doc_id, text)``.
 
     A null text, or one without letters, is ``und`` with score 0 and rejected. Ties go to the
-    language that sorts first, with score 0. Without dictionaries every text is ``und``. A null
+    language with the most documents to learn from, with score 0. Without dictionaries every text is ``und``. A null
     id is not held out. Rows are independent of each other.
     """
 
