@@ -20,8 +20,9 @@ from siftwright.llm.common import stored
 EXACT = 1 << 16
 #: Padded tokens of a batch, and the number of buckets.
 TOKEN_BUDGET, BUCKETS = 8192, 12
-#: Mean documents of a chunk, the unit in which documents of a bucket are numbered.
-CHUNK_ROWS = 10_000
+#: Mean documents of a chunk, the unit in which documents of a bucket are numbered; one of more than
+#: LARGE times as many is split.
+CHUNK_ROWS, LARGE = 10_000, 4
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -86,11 +87,12 @@ def pack(docs: DataFrame, length: Column | None = None, budget: int = TOKEN_BUDG
     global number), slot (from 0), pad (boundary less n_tokens). ``length`` defaults to the number
     of words. A null or empty text has length 0 and is packed like any other. A text longer than
     the budget has a batch of its own and stays whole. Within a bucket the order is that of a hash
-    of the id, so a batch mixes sources; rows that repeat an id and a length are interchangeable,
-    and those without id are spread by their place in the input. An empty table gives an empty table.
+    of the id, so a batch mixes sources; rows that repeat an id and a length, or have no id, are
+    interchangeable, and where they are many they are spread by their place in the input. An empty
+    table gives an empty table.
     """
     n = length if length is not None else word_count(F.col("text"))
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place")
+    place = F.monotonically_increasing_id().alias("place")
     sized = stored(docs.select("doc_id", n.alias("n_tokens"), place).withColumn("grid", on_grid(F.col("n_tokens"))), "lengths")
     cells = sorted(tuple(r)[1:] for r in sized.groupBy("grid").agg(F.max("n_tokens"), F.count("*"), F.sum("n_tokens")).collect())
     bounds = boundaries(cells, buckets) or [0]
@@ -101,12 +103,19 @@ def pack(docs: DataFrame, length: Column | None = None, budget: int = TOKEN_BUDG
 
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket"))
-    placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id", "n_tokens", "place"), F.lit(chunks)).alias("chunk"))
-    before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("rows"))
-    offsets = counts.select("bucket", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1)
-    joined = ranked.join(offsets, ["bucket", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
+    placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)).alias("chunk"), "place")
+    large = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("rows")).filter(F.col("rows") > LARGE * CHUNK_ROWS)
+    if large.isEmpty():
+        placed = placed.withColumn("part", F.lit(0).cast("long"))
+    else:
+        parts = large.select("bucket", "chunk", F.ceil(F.col("rows") / CHUNK_ROWS).alias("parts"))
+        placed = placed.join(parts, ["bucket", "chunk"], "left").withColumn("part", F.pmod("place", F.coalesce("parts", F.lit(1).cast("long"))))
+    unit = ["bucket", "chunk", "part"]
+    before = Window.partitionBy("bucket").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*unit).agg(F.count("*").alias("rows"))
+    offsets = counts.select(*unit, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*unit).orderBy("doc_id", "n_tokens", "place")) - 1)
+    joined = ranked.join(offsets, unit).withColumn("rank", F.col("rank") + F.col("before"))
     return joined.select(
         "doc_id", "n_tokens", "bucket", of(bounds).alias("boundary"),
         (of(batches[:-1]) + F.floor(F.col("rank") / of(caps))).alias("batch_id"),

@@ -397,6 +397,16 @@ def test_edited_texts(spark):
     assert edit_fingerprint.edit_distance(a[:300], b[:300]) == table[-1] and edit_fingerprint.edit_distance(a[:300], b[:300], 5) > 5
 
 
+def test_packing_of_rows_that_repeat(spark, monkeypatch):
+    """Many rows of one id, and without id, are numbered in parts, each place once."""
+    monkeypatch.setattr(packing, "CHUNK_ROWS", 10)
+    docs = spark.createDataFrame([(7, "a b c")] * 300 + [(None, "a b")] * 300 + [(i, "a " * (i % 9)) for i in range(300)], "doc_id long, text string")
+    out = packing.pack(docs, budget=64, buckets=4).toPandas()
+    assert len(out) == 900 and not out.duplicated(["batch_id", "slot"]).any()
+    size = out.groupby("batch_id").agg(n=("slot", "size"), b=("boundary", "max"), top=("slot", "max"))
+    assert (size["n"] == size["top"] + 1).all() and ((size["n"] * size["b"] <= 64) | (size["b"] == 0)).all()
+
+
 def test_packing_long(spark):
     """Lengths past the exact part of the histogram, against brute force over all choices."""
     rng = np.random.default_rng(2)
