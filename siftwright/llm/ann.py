@@ -113,7 +113,8 @@ class Fit:
         ends = [np.floor((middle + d) * (len(ordered) - 1)).astype(np.int64) for d in (-self.half, self.half)]
         low, high = (np.searchsorted(self.bounds[curve], ordered[np.clip(e, 0, len(ordered) - 1)], "right") for e in ends)
         own = np.searchsorted(self.bounds[curve], keys, "right")
-        return np.minimum(low, own), np.maximum(high, own)
+        low = np.where(middle <= self.half, 0, np.minimum(low, own))  # rows may lie beyond the sample's ends
+        return low, np.where(middle >= 1 - self.half, len(self.bounds[curve]), np.maximum(high, own))
 
 
 def _quantile(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def nearest_of(points: DataFrame, asked: np.ndarray, own: np.ndarray, k: int) ->
 def fit(points: DataFrame, k: int, recall: float = RECALL) -> tuple[Curves, Fit]:
     """Fits the index on a sample of about SAMPLE points and about SAMPLE_QUERIES queries of
     ``points(point, embedding, asked)``, and the exact neighbours of those. Costs are of comparisons
-    and of copies. If no windows hold enough, they hold all."""
+    and of copies. If no windows hold enough, they hold all; in any case they hold more rows than k."""
     head = points.agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max(F.size("embedding")).alias("dims"), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
     total, queries = head["n"], head["q"]
     curves = Curves(head["dims"] or 1, head["longest"] or 1.0)
@@ -191,6 +192,7 @@ def fit(points: DataFrame, k: int, recall: float = RECALL) -> tuple[Curves, Fit]
                 h = halves[enough[0]] if len(enough) else 0.5
                 if n * (2 * h * queries + COPY) < best:
                     best, count, half = n * (2 * h * queries + COPY), n, float(h)
+    half = min(0.5, max(half, 2 * k / max(1, total)))  # never fewer rows than are asked for
     ranges = int(min(np.ceil(max(total / BLOCK, min(total / FEW, 2 * parallelism(points.sparkSession) / count))), len(sample[0]) / 8)) or 1
     bounds = [s[np.arange(1, ranges) * len(s) // ranges] for s in sample[:count]]
     mass = [np.bincount(np.searchsorted(b, s, "right"), minlength=ranges) / len(s) for b, s in zip(bounds, sample)]

@@ -40,7 +40,7 @@ EQUAL_SLACK = 0.28
 BLOCK = 512
 #: Classes of a block where blocks meet each other: as many blocks as keep all tasks busy, but of
 #: no fewer classes than the first, no more than the second, and about so many shingles at most.
-FEW, MANY, MANY_SHINGLES = 128, 4096, 1_000_000
+FEW, MANY, MANY_SHINGLES = 128, 1024, 1_000_000
 #: Cells of a matrix that counts common shingles at once.
 CELLS = 4_000_000
 _TOP = (1 << 16) - 1

@@ -354,6 +354,8 @@ def test_near_neighbours_odd(spark):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(table, k=4).collect()}
     assert got == {(0, 1): (8, 2.0), (0, 2): (8, 1.0), (0, 3): (1, 0.5), (0, 4): (2, 0.0), (20, 1): (2, 1.0), (20, 2): (8, 1.0), (20, 3): (0, 0.0), (20, 4): (1, 0.0)}
     assert ann.search(table.limit(0)).count() == 0
+    few = spark.createDataFrame([(i, [float(i), 1.0 / (i + 1), float(i % 3)]) for i in range(19)], "vec_id long, embedding array<float>")
+    assert ann.search(few, every=1).count() == 19 * 18
 
 
 def test_near_pairs_recall(spark):
