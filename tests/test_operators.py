@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -179,3 +181,23 @@ def test_models_on_held_out_rows(spark, model):
     rows = matrix(spark, [(int(a[0] + a[1] > 0), a.tolist()) for a in x])
     out = evaluate.loop(rows, model, 1, 0.3, features=[0, 1, 2]).first()
     assert out["accuracy"] >= 0.88 and out["macro_f1"] >= 0.88 and out["seconds"] > 0, out
+
+
+def test_release(spark):
+    from siftwright.functions import shared
+
+    kept = shared.stored(spark.range(5).toDF("id"), "five")
+    folder = kept.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(folder)
+    shared.release(spark)
+    assert not os.path.exists(folder)
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siftwright.functions import shared
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(far)
