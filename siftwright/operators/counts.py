@@ -99,19 +99,28 @@ def probabilities(counts: DataFrame, rows: DataFrame) -> DataFrame:
     return counts.join(sizes, "client").withColumn("p", F.col("c") / F.col("n"))
 
 
-def combine(probs: DataFrame, clients: int, weighted: bool = False, shape: dict[str, int] | None = None) -> DataFrame:
+def complete(probs: DataFrame, unit: tuple[str, ...], clients: int) -> DataFrame:
+    """The units whose table all of so many clients sent; one that some client lacks is out."""
+    whole = probs.groupBy(*unit).agg(F.count_distinct("client").alias("_n")).filter(F.col("_n") >= clients).select(*unit)
+    return probs.join(whole, list(unit), "left_semi")
+
+
+def combine(probs: DataFrame, clients: int, weighted: bool = False, shape: dict[str, int] | None = None, unit: tuple[str, ...] = ()) -> DataFrame:
     """One table from the clients' tables; a cell a client lacks is zero there.
 
     Simple: the sum over the number of clients that count. Weighted: by rows; if no client that
     counts has rows, simple. ``clients`` reported; those with a contribution that is not valid are
-    left out whole, of the sums as of their number. The contributions have a row per cell and
-    client; they are stored, so what makes them runs once.
+    left out whole, of the sums as of their number. With ``unit``, only units count that are
+    ``complete``. The contributions have a row per cell and client; they are stored, so what makes
+    them runs once.
     """
     held = stored(probs.withColumn("_valid", valid(shape)), "contributions")
     each = held.groupBy("client").agg(F.max("n").alias("n"), F.min("_valid").alias("valid"))
     head = each.agg(F.count_if(~F.col("valid")).alias("out"), F.sum(F.when(F.col("valid"), F.col("n"))).alias("rows")).first()
     if head["out"]:
         held = held.join(each.filter("valid").select("client"), "client", "left_semi")
+    if unit:
+        held = complete(held, unit, clients - head["out"])
     cell = [c for c in probs.columns if c not in ("client", "c", "n", "p")]
     if weighted and head["rows"]:
         return held.groupBy(*cell).agg((F.sum(F.col("p") * F.col("n")) / F.lit(float(head["rows"]))).alias("p"))

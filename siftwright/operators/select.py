@@ -32,16 +32,10 @@ def _pair_scores(rows: DataFrame, j: int, bins: int, combined: str | None, clien
         table = shares(C.pair_counts(rows, j, bins=bins), *PAIR)
     else:
         probs = C.probabilities(C.pair_counts(rows, j, "client", bins=bins), rows)
-        table = C.combine(complete_pairs(probs, clients), clients, combined == "weighted")
+        table = C.combine(probs, clients, combined == "weighted", unit=PAIR)
     return mutual_information(table, PAIR, ("bin_k", "bin_j"))
 
 
-def complete_pairs(probs: DataFrame, clients: int) -> DataFrame:
-    """The pair tables that all of so many clients sent; one that some client lacks is out."""
-    whole = probs.groupBy(*PAIR).agg(F.count_distinct("client").alias("n")).filter(F.col("n") >= clients).select(*PAIR)
-    return probs.join(whole, list(PAIR), "left_semi")
-
-
 def _clients(rows: DataFrame, combined: str | None) -> int:
     return rows.select("client").distinct().count() if combined else 0
 

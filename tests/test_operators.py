@@ -143,7 +143,7 @@ def test_pair_that_a_client_lacks_is_out(spark):
     table = spark.createDataFrame(rows, "row_id long, client long, y int, bins array<int>")
     assert 2 in [r["feature"] for r in select.jmi(table, 3).collect()]
     probs = C.probabilities(C.pair_counts(table, 0, "client"), table)
-    assert {r["k"] for r in select.complete_pairs(probs, 2).select("k").distinct().collect()} == {1}
+    assert {r["k"] for r in C.complete(probs, ("k", "j"), 2).select("k").distinct().collect()} == {1}
     chosen = [r["feature"] for r in select.jmi(table, 3, combined="simple").collect()]
     assert chosen[0] == 2 or 2 not in chosen  # it may start, by its own table, but no pair holds it
 
