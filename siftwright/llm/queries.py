@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwright.llm import ann, bpe, chat_format, edit_fingerprint, fill_in_middle, language_id, near_dedup, packing, quality, secret_scan, warc
+from siftwright.llm import ann, bpe, chat_format, edit_fingerprint, fill_in_middle, language_id, near_dedup, packing, prefix_trie, quality, secret_scan, warc
 from siftwright.llm.common import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_language_id": language_id.query,
         "op9_secret_scan": lambda spark, sf_dir: secret_scan.digests(table(spark, sf_dir, "documents")),
         "op10_ann": ann.query,
+        "op11_prefix_trie": prefix_trie.query,
         "op12_fill_in_middle": fill_in_middle.query,
     }
 
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat_format.ORACLE_SQL,
         "op7_near_dedup": near_dedup.ORACLE_SQL,
         "op9_secret_scan": secret_scan.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
         "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
