@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwright.llm import ann, bpe, chat_format, edit_fingerprint, fill_in_middle, language_id, near_dedup, packing, prefix_trie, quality, secret_scan, warc
+from siftwright.llm import ann, bpe, chat_format, edit_fingerprint, fill_in_middle, language_id, near_dedup, packing, prefix_trie, quality, secret_scan, suffix_dedup, warc
 from siftwright.llm.common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op10_ann": ann.query,
         "op11_prefix_trie": prefix_trie.query,
         "op12_fill_in_middle": fill_in_middle.query,
+        "op13_suffix_dedup": suffix_dedup.query,
     }
 
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_secret_scan": secret_scan.ORACLE_SQL,
         "op11_prefix_trie": prefix_trie.ORACLE_SQL,
         "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op13_suffix_dedup": suffix_dedup.ORACLE_SQL,
     }
