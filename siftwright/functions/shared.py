@@ -44,6 +44,15 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose writing has ended; none if there is no such path."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    system = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(of(path)):
+        return []
+    return sorted(f.getPath().getName() for f in system.listStatus(of(path)) if f.isDirectory() and system.exists(of(f"{path}/{f.getPath().getName()}/_SUCCESS")))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a lost executor costs no
     recomputation of what came before."""

@@ -9,7 +9,7 @@ from siftwright.functions.shared import fresh_path
 from siftwright.operators import counts as C, evaluate, information as I, prep, select, sites, telemetry
 from siftwright.sources import files
 from siftwright.sources.views import CLIENTS, EMB_SQL, LI_FEATURES, LI_SQL, embeddings as emb, lineitem, table
-from siftwright.streaming import rollups
+from siftwright.streaming import replay, rollups, rounds, tables
 
 BINS, K, RATIO = 5, 5, 0.3
 #: The shards' clients and the blocks' shares of rows in the queries over unlike sites.
@@ -173,19 +173,19 @@ def streamed_counts(spark, d):
 
 
 def stream_joint_counts(spark, d):
-    return rollups.drained(streamed_counts(spark, d)).select("client", "feature", "bin", "y", "c")
+    return rollups.drained(streamed_counts(spark, d), "client", "feature", "bin", "y").select("client", "feature", "bin", "y", "c")
 
 
 def stream_information(spark, d):
     """Information per feature, worked out again from the running counts at each batch."""
-    return rollups.drained(streamed_counts(spark, d), then=rollups.refreshed_information).select("feature", *_r("mi"))
+    return rollups.drained(streamed_counts(spark, d), "client", "feature", "bin", "y", then=rollups.refreshed_information).select("feature", *_r("mi"))
 
 
 def stream_first_reports(spark, d):
     """Rounds by kind of event; complete once every known client has reported."""
     clients = table(spark, d, "events").select(F.col("user_id").alias("client")).filter("client IS NOT NULL").distinct()
     rows = streamed_reports(spark, d).withColumnRenamed("phase", "round")
-    first = rollups.drained(rollups.first_reports(rows, clients, "seconds"))
+    first = rollups.drained(rollups.first_reports(rows, clients, "seconds"), "client", "round")
     totals = first.groupBy("round").agg(F.sum("id").alias("ids"), F.round(F.sum("seconds"), 4).alias("seconds"))
     return rollups.complete_rounds(first, clients.count()).join(totals, "round")
 
@@ -193,15 +193,77 @@ def stream_first_reports(spark, d):
 def stream_json(spark, d):
     """The sum of a JSON message's number by kind of event."""
     rows = rollups.parsed(rollups.stream_of(spark, d, "events").select("event_type", "props"), "k INT")
-    return rollups.drained(rows.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total")))
+    return rollups.drained(rows.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total")), "event_type")
 
 
 def stream_phase_times(spark, d):
-    return telemetry.slowest(rollups.drained(telemetry.client_phases(streamed_reports(spark, d)))).select("phase", *_r("seconds"))
+    return telemetry.slowest(rollups.drained(telemetry.client_phases(streamed_reports(spark, d)), "client", "phase")).select("phase", *_r("seconds"))
 
 
 def stream_energy(spark, d):
-    return telemetry.total_energy(rollups.drained(telemetry.last_energy(energy(streamed_reports(spark, d))))).select("clients", *_r("kwh"))
+    return telemetry.total_energy(rollups.drained(telemetry.last_energy(energy(streamed_reports(spark, d))), "client")).select("clients", *_r("kwh"))
+
+
+def arriving(rows, *lags):
+    """Adds the batch of six days in which a message arrives: by its day, and days more for some ids,
+    ``(every, days)`` each."""
+    more = F.lit(0)
+    for every, days in lags:
+        more = F.when(F.col("id") % every == 0, days).otherwise(more)
+    day = F.floor(F.unix_micros("ts") / 86400000000)
+    return rows.withColumn("batch", F.floor((day + more) / 6))
+
+
+def report_messages(spark, d):
+    """A client's reports in a round, a day: one for each batch that brings some, in disorder; some are
+    sent twice, some again with the next batch."""
+    rows = reports(spark, d).filter("client IS NOT NULL AND ts IS NOT NULL").withColumn("round", F.floor(F.unix_micros("ts") / 86400000000))
+    once = arriving(rows, (3, 1), (11, 6)).groupBy("round", "client", "batch").agg(F.min(F.struct("ts", "id", "seconds")).alias("m")).select("round", "client", "batch", "m.*")
+    return once.unionByName(once.filter("id % 5 = 0")).unionByName(once.filter("id % 7 = 0").withColumn("batch", F.col("batch") + 1))
+
+
+def stream_late_reports(spark, d):
+    """First reports of known clients under a watermark of a day: by round, and the rows that were late."""
+    clients = spark.range(1000).select(F.col("id").alias("client")).filter("client % 10 <> 9")
+    first = replay.Changes(spark, fresh_path(spark, "first"), "round", "client")
+    progress = replay.replayed(report_messages(spark, d), lambda stream: rounds.first_reports(stream, clients, "1 day"), first.write, "append")
+    late = F.lit(replay.late_rows(progress)).cast("long").alias("late")
+    return first.state().groupBy("round").agg(F.count("*").alias("clients"), F.sum("id").alias("ids"), F.round(F.sum("seconds"), 4).alias("seconds"), late)
+
+
+HOUR, LIMIT, EXPECTED = 3600000, 2700000, (0, 1, 2, 3, 4, 5)
+
+
+def stream_closed_rounds(spark, d):
+    """Rounds of an hour that close with the last of six clients or after 45 minutes; each message
+    brings the pairs that its client could count."""
+    rows = reports(spark, d).filter("client IS NOT NULL AND ts IS NOT NULL AND phase IN ('view', 'click')")
+    rows = rows.select("id", "ts", F.floor(F.unix_micros("ts") / (HOUR * 1000)).alias("round"), (F.col("client") % 8).alias("client"), F.filter(F.array(*map(F.lit, range(4))), lambda p: (F.col("id") + p) % 9 != 0).alias("pairs"))
+    closed = replay.Changes(spark, fresh_path(spark, "closed"), "round")
+    replay.replayed(arriving(rows, (4, 1), (13, 7)), lambda stream: rounds.closed_rounds(stream, list(EXPECTED), HOUR, LIMIT, "2 hours"), closed.write, "append", store=rounds.STORE)
+    return closed.state().select("round", "complete", "clients", F.array_join(F.transform("excluded", lambda p: p.cast("string")), ",").alias("excluded"))
+
+
+def binned_lines(rows, *more):
+    """Quantity and discount in bins of given ranges, with the client and the return flag."""
+    bounds = (("l_quantity", 1.0, 50.0), ("l_discount", 0.0, 0.1))
+    return rows.select((F.col("l_suppkey") % CLIENTS).alias("client"), F.col("l_returnflag").alias("y"), F.array(*[bin_of(F.col(c), F.lit(a), F.lit(b), BINS) for c, a, b in bounds]).alias("bins"), *more)
+
+
+def stream_count_store(spark, d):
+    """Information from a store of counts that lines reach in three batches, the first of them twice;
+    then client 3 withdraws, and client 2 sends its lines of a quantity up to 30 instead of all."""
+    lines = table(spark, d, "lineitem")
+    store = tables.CountStore(spark, fresh_path(spark, "counts"))
+
+    def take(batch, number):
+        store.add(f"batch-{number}", batch)
+        store.add("batch-0", batch)
+
+    replay.replayed(binned_lines(lines, (F.col("l_orderkey") % 3).alias("batch")), lambda stream: stream, take, "append")
+    store.withdraw("client 3 leaves", 3)
+    store.replace("client 2 again", 2, binned_lines(lines.filter("l_quantity <= 30")))
+    return store.information().select("feature", *_r("mi"))
 
 
 def block_sizes(n):
@@ -283,6 +345,9 @@ QUERIES = {
     "stream_first_reports": stream_first_reports,
     "stream_phase_times": stream_phase_times,
     "stream_energy": stream_energy,
+    "stream_late_reports": stream_late_reports,
+    "stream_closed_rounds": stream_closed_rounds,
+    "stream_count_store": stream_count_store,
 }
 
 
@@ -348,6 +413,7 @@ def _rounds(n, features="true"):
 
 _PHASES = "SELECT phase, round(max(seconds), 6) AS seconds FROM (SELECT user_id, event_type AS phase, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY phase"
 _ENERGY = "SELECT count(*) AS clients, round(sum(kwh), 6) AS kwh FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS kwh FROM events WHERE event_type = 'purchase' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id)"
+_STREAM_ROWS = " UNION ALL ".join(f"SELECT l_suppkey % {CLIENTS} AS client, {i} AS feature, {bin_sql(c, a, b, BINS)} AS bin, l_returnflag AS y, l_quantity AS q FROM lineitem" for i, (c, a, b) in enumerate((("l_quantity", "1.0::DOUBLE", "50.0::DOUBLE"), ("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"))))
 _STREAM = " UNION ALL ".join(f"SELECT l_suppkey % {CLIENTS} AS client, {i} AS feature, {bin_sql(c, a, b, BINS)} AS bin, l_returnflag AS y FROM lineitem WHERE {c} IS NOT NULL" for i, (c, a, b) in enumerate((("l_quantity", "1.0::DOUBLE", "50.0::DOUBLE"), ("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"))))
 
 _WORST = "SELECT event_type AS phase, max(seconds) AS worst, sum(seconds) AS total FROM (SELECT user_id, event_type, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY event_type"
@@ -359,6 +425,33 @@ _CLEAN = f"""WITH {EMB_SQL}, h AS (SELECT row_id, row_id % 3 AS subject, y, feat
 f AS (SELECT feature FROM (SELECT subject, feature, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS q FROM h GROUP BY ALL) GROUP BY feature HAVING max(q) <= 0.5), m AS (SELECT feature, median(x) AS med FROM h GROUP BY feature),
 cl AS (SELECT row_id, subject, y, feature, coalesce(x, med) AS x FROM h JOIN f USING (feature) JOIN m USING (feature))"""
 
+def _arrived(rows, *lags):
+    """The tables m, of messages with their batch, and w, of each batch with the watermark, in
+    microseconds, that those before it leave; ``rows`` has id and ts."""
+    more = "CASE " + " ".join(f"WHEN id % {n} = 0 THEN {days}" for n, days in reversed(lags)) + " ELSE 0 END"
+    return f"SELECT *, CAST(floor((floor(epoch_us(ts) / 86400000000) + {more}) / 6) AS BIGINT) AS batch FROM ({rows})"
+
+
+def _watermark(delay_us):
+    return f"w AS (SELECT batch, coalesce(max(last) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - {delay_us}, 0) AS wm FROM (SELECT batch, max(epoch_us(ts)) AS last FROM m GROUP BY batch))"
+
+
+_LATE_REPORTS = f"""WITH e AS ({_arrived("SELECT event_id AS id, ts, user_id AS client, value AS seconds FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL", (3, 1), (11, 6))}),
+o AS (SELECT round, client, batch, m.ts AS ts, m.id AS id, m.seconds AS seconds FROM (SELECT CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS round, client, batch, min({{'ts': ts, 'id': id, 'seconds': seconds}}) AS m FROM e GROUP BY ALL)),
+m AS (SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM o WHERE id % 5 = 0 UNION ALL SELECT * REPLACE (batch + 1 AS batch) FROM o WHERE id % 7 = 0) WHERE client % 10 <> 9 AND client < 1000),
+{_watermark(86400000000)}, l AS (SELECT m.*, epoch_us(ts) <= wm AS late FROM m JOIN w USING (batch)),
+f AS (SELECT round, client, min_by(id, batch) AS id, min_by(seconds, batch) AS seconds FROM l WHERE NOT late GROUP BY round, client)
+SELECT round, count(*) AS clients, CAST(sum(id) AS BIGINT) AS ids, round(sum(seconds), 4) AS seconds, (SELECT count(*) FROM l WHERE late) AS late FROM f GROUP BY round"""
+_CLOSED_ROUNDS = f"""WITH m AS ({_arrived(f"SELECT event_id AS id, ts, CAST(floor(epoch_us(ts) / {HOUR * 1000}) AS BIGINT) AS round, user_id % 8 AS client, list_filter(range(4), lambda p: (event_id + p) % 9 <> 0) AS pairs FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IN ('view', 'click')", (4, 1), (13, 7))}),
+{_watermark(7200000000)}, l AS (SELECT m.*, (round * {HOUR} + {LIMIT}) * 1000 AS ends FROM m JOIN w USING (batch) WHERE epoch_us(ts) > wm AND wm < (round * {HOUR} + {LIMIT}) * 1000),
+f AS (SELECT round, client, arg_min(pairs, (batch, ts, id)) AS pairs FROM l WHERE epoch_us(ts) <= ends AND client IN {EXPECTED} GROUP BY ALL),
+r AS (SELECT round, any_value(ends) AS ends FROM l GROUP BY round),
+n AS (SELECT round, count(*) AS clients FROM f GROUP BY round),
+p AS (SELECT round, p, count(*) AS sent FROM (SELECT round, unnest(pairs) AS p FROM f) GROUP BY ALL),
+x AS (SELECT round, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS excluded FROM p WHERE sent < {len(EXPECTED)} GROUP BY round)
+SELECT round, coalesce(clients, 0) = {len(EXPECTED)} AS complete, coalesce(clients, 0) AS clients, coalesce(excluded, '') AS excluded FROM r LEFT JOIN n USING (round) LEFT JOIN x USING (round)
+WHERE clients = {len(EXPECTED)} OR ends <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 7200000000 FROM m)"""
+
 ORACLE = {
     "src_sensor_logs": f"WITH {EMB_SQL} SELECT row_id % 3 + 1 AS subject, feature, count(*) AS n, count(x) FILTER (WHERE x >= 0) AS present, round(sum(x) FILTER (WHERE x >= 0), 4) AS total FROM el WHERE y <> 0 GROUP BY ALL",
     "sink_cleaned": f"{_CLEAN} SELECT subject, y, count(DISTINCT row_id) AS n, count(DISTINCT feature) AS width, round(sum(x), 4) AS total FROM cl GROUP BY subject, y",
@@ -423,4 +516,7 @@ ORACLE = {
     "stream_first_reports": "SELECT event_type AS round, count(*) AS clients, count(*) >= (SELECT count(DISTINCT user_id) FROM events) AS complete, CAST(sum(r.event_id) AS BIGINT) AS ids, round(sum(r.value), 4) AS seconds FROM (SELECT event_type, user_id, min({'ts': ts, 'event_id': event_id, 'value': value}) AS r FROM events WHERE user_id IS NOT NULL GROUP BY ALL) GROUP BY event_type",
     "stream_phase_times": _PHASES,
     "stream_energy": _ENERGY,
+    "stream_late_reports": _LATE_REPORTS,
+    "stream_closed_rounds": _CLOSED_ROUNDS,
+    "stream_count_store": f"WITH c AS (SELECT feature, bin, y, count(*) AS c FROM ({_STREAM_ROWS}) WHERE y IS NOT NULL AND bin IS NOT NULL AND client <> 3 AND (client <> 2 OR q <= 30) GROUP BY ALL), pc AS (SELECT *, c / sum(c) OVER (PARTITION BY feature) AS p FROM c), fm AS {_mi('pc')} SELECT feature, round(mi, 6) AS mi FROM fm",
 }

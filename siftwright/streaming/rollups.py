@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwright.functions.shared import fresh_path
 from siftwright.operators.information import mutual_information, shares
+from siftwright.streaming.replay import Changes, run
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +17,21 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "complete", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """What a stream gives once all its input is in, kept as a Parquet table of the last state. With
-    ``then``, each batch keeps what that makes of the state."""
+def drained(stream: DataFrame, *keys: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The state of a keyed aggregation once all of a stream's input is in. Each batch gives the rows
+    it changes, which are merged by batch number, so a batch that is replayed changes nothing. With
+    ``then``, each batch makes that of the state so far, and what the last one made is returned."""
     spark = stream.sparkSession
-    path = fresh_path(spark, "stream")
-    made = then or (lambda batch: batch)
+    changes = Changes(spark, fresh_path(spark, "changes"), *keys)
+    made = Changes(spark, fresh_path(spark, "made"))
 
-    def keep(batch: DataFrame, _: int) -> None:
-        made(batch).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def keep(batch: DataFrame, number: int) -> None:
+        changes.write(batch, number)
+        if then:
+            made.write(then(changes.state()), number)
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, "offsets")).trigger(availableNow=True).foreachBatch(keep)
-    query = writer.queryName(f"q{uuid.uuid4().hex}").start()
-    query.awaitTermination()
-    return spark.read.parquet(path) if then else spark.read.schema(stream.schema).parquet(path)
+    run(stream, keep, "update", fresh_path(spark, "offsets"))
+    return made.last() if then else changes.state()
 
 
 def running_counts(rows: DataFrame) -> DataFrame:
