@@ -192,7 +192,7 @@ def _placed(summaries: list[tuple[int, str]], family: int, spread: int) -> tuple
                 open_conv, rank = c, 0
                 path = heads.path(skip)
                 for node in path:
-                    known.row(_NODE, *node, c, 1)
+                    known.node(*node, c)
                 key, pos = path[-1][0], path[-1][2]
             out = max(0, min(n, skip - rank))
             scale = pow(POINT, pos - out, PRIME)

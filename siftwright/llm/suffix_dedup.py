@@ -361,10 +361,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), keep=False).drop("kept")
 
 
-#: Windows as hexadecimal text, where a byte is two characters.
+#: Windows are slices of bytes; what is kept is put together in hexadecimal, where a byte is two characters.
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS t FROM documents),
-w AS (SELECT r, i, md5_number(substr(t, CAST(2 * i + 1 AS BIGINT), {2 * LEAST})) AS g FROM (SELECT r, t, unnest(range(0, length(t) // 2 - {LEAST - 1})) AS i FROM d)),
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS t, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT r, i, md5_number(raw[i + 1 : i + {LEAST}]) AS g FROM (SELECT r, raw, unnest(range(0, octet_length(raw) - {LEAST - 1})) AS i FROM d)),
 g AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
 s AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w SEMI JOIN g USING (g)),
 u AS (SELECT r, i, sum(CASE WHEN gap <= {LEAST} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM s),
