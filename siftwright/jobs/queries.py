@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import bin_of, bin_sql, seeded_order
 from siftwright.functions.shared import fresh_path
-from siftwright.operators import counts as C, evaluate, information as I, prep, select, sites, telemetry
+from siftwright.operators import counts as C, evaluate, information as I, pairs, prep, select, sites, telemetry
 from siftwright.sources import files
 from siftwright.sources.views import CLIENTS, EMB_SQL, LI_FEATURES, LI_SQL, embeddings as emb, lineitem, table
 from siftwright.streaming import replay, rollups, rounds, tables
@@ -309,6 +309,9 @@ QUERIES = {
     "label_arity": lambda s, d: prep.label_arity(li(s, d)),
     "joint_counts": lambda s, d: C.joint_counts(li(s, d), bins=BINS),
     "joint_counts_blocks": lambda s, d: C.joint_counts(emb_bins(s, d), "client", bins=BINS, blocks=True),
+    "joint_counts_raw_blocks": lambda s, d: C.joint_counts(emb(s, d), "client", bins=BINS, blocks=True),
+    "mi_all_pairs": lambda s, d: pairs.information_matrix(emb_bins(s, d), 64, BINS).select("k", "j", *_r("mi")),
+    "mi_all_pairs_sites": lambda s, d: pairs.information_matrix(emb_bins(s, d), 64, BINS, "weighted").select("k", "j", *_r("mi")),
     "site_joint_probs": lambda s, d: site_probs(s, d).select("client", "feature", "bin", "y", *_r("p")),
     "site_pair_probs": site_pair_probs,
     "combine_simple": lambda s, d: C.combine(site_probs(s, d), CLIENTS, shape=SHAPE).select("feature", "bin", "y", *_r("p")),
@@ -484,6 +487,9 @@ ORACLE = {
     "label_arity": f"WITH {LI_SQL} SELECT count(DISTINCT y) AS classes FROM li",
     "joint_counts": f"WITH {LI_D} SELECT feature, bin, y, count(*) AS c FROM d GROUP BY ALL",
     "joint_counts_blocks": f"WITH {EMB_D} SELECT client, feature, bin, y, count(*) AS c FROM d GROUP BY ALL",
+    "joint_counts_raw_blocks": f"WITH {EMB_D} SELECT client, feature, bin, y, count(*) AS c FROM d GROUP BY ALL",
+    "mi_all_pairs": f"WITH {EMB_D}, {_COUNTS}, fm AS {_mi('pc')}, {_PAIRS}, pm AS {_mi('pp', 'k, j', 'bin_k, bin_j')} SELECT k, j, round(mi, 6) AS mi FROM pm WHERE k < j UNION ALL SELECT feature, feature, round(mi, 6) FROM fm",
+    "mi_all_pairs_sites": f"WITH {EMB_D}, {_COUNTS}, fm AS {_mi('pc')}, {_PAIRS}, pm AS {_mi('pp', 'k, j', 'bin_k, bin_j')} SELECT k, j, round(mi, 6) AS mi FROM pm WHERE k < j UNION ALL SELECT feature, feature, round(mi, 6) FROM fm",
     "site_joint_probs": f"WITH {LI_D}, {_SITE} SELECT client, feature, bin, y, round(p, 6) AS p FROM sp",
     "site_pair_probs": f"WITH {LI_SQL}, rng AS (SELECT feature, min(x) AS mn, max(x) AS mx FROM el GROUP BY feature), w AS (SELECT *, row_number() OVER () AS rid FROM li), l AS (SELECT rid, client, y, unnest(range(0, 5)) AS feature, unnest(features) AS x FROM w), d AS (SELECT rid, client, y, feature, {bin_sql('x', 'mn', 'mx', BINS)} AS bin FROM l JOIN rng USING (feature)), ns AS (SELECT client, count(*) AS n FROM w GROUP BY client) SELECT a.client, a.feature AS k, 0 AS j, a.bin AS bin_k, b.bin AS bin_j, a.y, round(count(*) / any_value(n), 6) AS p FROM d a JOIN d b ON a.rid = b.rid AND b.feature = 0 AND a.feature <> 0 JOIN ns ON ns.client = a.client GROUP BY a.client, a.feature, a.bin, b.bin, a.y",
     "combine_simple": f"WITH {LI_D}, {_SITE} SELECT feature, bin, y, round(sum(p) / {CLIENTS}.0, 6) AS p FROM sp GROUP BY ALL",

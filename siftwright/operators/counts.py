@@ -70,11 +70,71 @@ def _by_blocks(rows: DataFrame, by: tuple[str, ...], j: int | None, bins: int) -
     return total.select(*lead_out, F.col("feature").alias("k"), F.lit(j).alias("j"), (F.col("cell") / bins).cast("int").alias("bin_k"), (F.col("cell") % bins).alias("bin_j"), "y", "c")
 
 
+def matrix_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of arrays of equal lengths, and whether they are there."""
+    flat = column.flatten()
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    return (x.reshape(len(column), -1) for x in (flat.fill_null(0.0).to_numpy(zero_copy_only=False), there))
+
+
+def ranges_by_blocks(rows: DataFrame) -> DataFrame:
+    """(feature, mn, mx) of raw ``features``: tasks keep an array of each and emit a row per feature. NaN
+    is larger than all numbers; a feature without values has no row."""
+
+    def run(batches):
+        low = high = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                x, there = matrix_of(batch.column(0).slice(at, SLICE))
+                mn, mx = np.fmin.reduce(np.where(there, x, np.nan)), np.where(there, x, -np.inf).max(0)
+                mn = np.where(there.any(0), np.where(np.isnan(mn), np.inf, mn), np.nan)  # inf: only NaN so far; nan: nothing
+                low, high = (mn, mx) if low is None else (np.fmin(low, mn), np.maximum(high, mx))
+        if low is not None:
+            some = np.flatnonzero(~np.isnan(low))
+            mn = np.where(np.isinf(low) & np.isnan(high), np.nan, low)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(mn[some]), pa.array(high[some])], names=["feature", "mn", "mx"])
+
+    part = rows.filter("features IS NOT NULL").select(F.col("features").cast("array<double>").alias("features")).mapInArrow(run, "feature int, mn double, mx double")
+    return part.groupBy("feature").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
+def binned_block(x: np.ndarray, there: np.ndarray, mn: np.ndarray, mx: np.ndarray, bins: int) -> np.ndarray:
+    """Bins of a block of rows as ``bin_of`` gives them, -1 where there is no value."""
+    step = (mx - mn) / float(bins)
+    out = np.zeros(x.shape, np.int64)
+    for i in range(1, bins):
+        out += x >= mn + float(i) * step
+    out = np.where((x >= mx) | np.isnan(x), bins - 1, out)
+    return np.where(there, np.where((mn == mx) | np.isnan(mn) & np.isnan(mx), 0, out), -1)
+
+
+def with_bins(rows: DataFrame, bins: int = 5, ranges: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``bins`` in the place of ``features``, block by block. Ranges, the data's own unless
+    given, are a pair of numbers per place in a row, brought to every task."""
+    known = {r["feature"]: (r["mn"], r["mx"]) for r in (ranges_by_blocks(rows) if ranges is None else ranges).collect()}
+    kept = [f for f in rows.schema.fields if f.name != "features"]
+    at = len(kept)
+
+    def run(batches):
+        for batch in batches:
+            x, there = matrix_of(batch.column(at)) if batch.num_rows else (np.zeros((0, 0)), np.zeros((0, 0), bool))
+            mn, mx = (np.array([known[i][side] if i in known else 0.0 for i in range(x.shape[1])]) for side in (0, 1))
+            there = there & np.array([i in known for i in range(x.shape[1])], bool)
+            out = binned_block(x, there, mn, mx, bins)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, max(out.shape[1], 1), dtype=np.int32)) if out.size else pa.array([0] * (batch.num_rows + 1), pa.int32()), pa.array(out.reshape(-1), pa.int32(), mask=out.reshape(-1) < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists], names=[*(f.name for f in kept), "bins"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.filter("features IS NOT NULL").select(*[f.name for f in kept], F.col("features").cast("array<double>").alias("features")).mapInArrow(run, f"{schema}, bins array<int>")
+
+
 def joint_counts(rows: DataFrame, *by: str, bins: int = 5, blocks: bool | None = None) -> DataFrame:
     """(by..., feature, bin, y, c) of ``rows(by..., y, bins)``; missing bins and labels are skipped.
     ``blocks`` picks the way; left open, the width of a row decides. Rows that have ``features``
-    and no bins yet are discretized on the way, value by value."""
+    and no bins yet are discretized on the way, value by value or in the blocks."""
     if "bins" not in rows.columns:
+        if _wide(rows, blocks, "features"):
+            return _by_blocks(with_bins(rows.select(*by, "y", "features"), bins), by, None, bins)
         long = binned_values(rows, bins, keep=(*by, "y")).filter("bin IS NOT NULL AND y IS NOT NULL")
         return long.groupBy(*by, "feature", "bin", "y").agg(F.count("*").alias("c"))
     return _by_blocks(rows, by, None, bins) if _wide(rows, blocks) else _by_rows(rows, by, None)
@@ -86,9 +146,9 @@ def pair_counts(rows: DataFrame, j: int, *by: str, bins: int = 5, blocks: bool |
     return _by_blocks(rows, by, j, bins) if _wide(rows, blocks) else _by_rows(rows, by, j)
 
 
-def _wide(rows: DataFrame, blocks: bool | None) -> bool:
+def _wide(rows: DataFrame, blocks: bool | None, column: str = "bins") -> bool:
     if blocks is None:
-        first = rows.select(F.size("bins").alias("n")).first()
+        first = rows.select(F.size(column).alias("n")).first()
         return bool(first and first["n"] > WIDE)
     return blocks
 

@@ -1,15 +1,18 @@
 """Feature selection: MIM and greedy JMI, pooled or from clients' tables.
 
-Ties, to nine decimals, go to the lowest feature. JMI is sequential: each round is one aggregation
-with the last feature chosen; the driver holds one number per feature.
+Ties, to nine decimals, go to the lowest feature. JMI is sequential; its scores come from one pass
+over all pairs, or, for wide rows, from one aggregation per round with the last feature chosen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.operators import counts as C
 from siftwright.operators.information import mutual_information, shares
+from siftwright.operators.pairs import PAIRS, information_matrix
 
 PAIR = ("k", "j")
 
@@ -47,30 +50,52 @@ def mim(rows: DataFrame, k: int, bins: int = 5, combined: str | None = None) ->
     return top_k(scores.filter("mi > 0") if combined else scores, k)
 
 
-def jmi(rows: DataFrame, k: int, bins: int = 5, combined: str | None = None) -> DataFrame:
+def greedy(single: dict[int, float], pairs_with: Callable[[int], dict[int, float]], k: int, positive: bool) -> list[tuple[int, int, float]]:
+    """(rank, feature, score): the feature of most information, then k - 1 times the one whose pairs
+    with those chosen sum to most. ``pairs_with(j)`` gives the information of pairs with j; a feature
+    without one is out. With ``positive``, nothing is chosen unless some feature has information."""
+    out: list[tuple[int, int, float]] = []
+    if not single or positive and max(single.values()) <= 0:
+        return out
+    best = max(single, key=lambda f: (round(single[f], 9), -f))
+    out.append((1, best, float(single[best])))
+    total = {f: 0.0 for f in single if f != best}
+    while len(out) < k and total:
+        pairs = pairs_with(out[-1][1])
+        total = {f: s + pairs[f] for f, s in total.items() if f in pairs}
+        if not total:
+            break
+        best = max(total, key=lambda f: (round(total[f], 9), -f))
+        out.append((len(out) + 1, best, float(total.pop(best))))
+    return out
+
+
+def jmi(rows: DataFrame, k: int, bins: int = 5, combined: str | None = None, all_pairs: bool | None = None) -> DataFrame:
     """Greedy joint mutual information over ``rows(client?, y, bins)``: (rank, feature, score).
 
     Each round adds the pairs' information with the last choice to every candidate's sum. From
     clients' tables, a candidate whose pair table some client lacks is out, and nothing is
     selected if no feature has information.
+
+    Rows of up to ``pairs.PAIRS`` features give all pairs' information in one pass, a number for each
+    on the driver; for wider ones each round is an aggregation with the last choice. ``all_pairs``
+    picks the way.
     """
-    rows = rows.persist()
-    clients = _clients(rows, combined)
-    first = {r["feature"]: r["mi"] for r in _scores(rows, bins, combined, clients).collect()}
-    out: list[tuple[int, int, float]] = []
-    if first and not (combined and max(first.values()) <= 0):
-        best = max(first, key=lambda f: (round(first[f], 9), -f))
-        out.append((1, best, float(first[best])))
-        total = {f: 0.0 for f in first if f != best}
-        while len(out) < k and total:
-            pairs = {r["k"]: r["mi"] for r in _pair_scores(rows, out[-1][1], bins, combined, clients).collect()}
-            total = {f: s + pairs[f] for f, s in total.items() if f in pairs}
-            if not total:
-                break
-            best = max(total, key=lambda f: (round(total[f], 9), -f))
-            out.append((len(out) + 1, best, float(total.pop(best))))
-    rows.unpersist()
-    return rows.sparkSession.createDataFrame(out, "rank int, feature int, score double")
+    spark = rows.sparkSession
+    width = (rows.select(F.size("bins").alias("n")).first() or {"n": 0})["n"]
+    if all_pairs or all_pairs is None and width <= PAIRS:
+        table: dict[int, dict[int, float]] = {}
+        for r in information_matrix(rows, width, bins, combined).collect() if width > 0 else []:
+            table.setdefault(r["k"], {})[r["j"]] = r["mi"]
+            table.setdefault(r["j"], {})[r["k"]] = r["mi"]
+        out = greedy({f: of[f] for f, of in sorted(table.items()) if f in of}, lambda j: table[j], k, bool(combined))
+    else:
+        rows = rows.persist()
+        clients = _clients(rows, combined)
+        single = {r["feature"]: r["mi"] for r in _scores(rows, bins, combined, clients).collect()}
+        out = greedy(single, lambda j: {r["k"]: r["mi"] for r in _pair_scores(rows, j, bins, combined, clients).collect()}, k, bool(combined))
+        rows.unpersist()
+    return spark.createDataFrame(out, "rank int, feature int, score double")
 
 
 def select(rows: DataFrame, method: str, k: int, bins: int = 5, combined: str | None = None) -> DataFrame:
