@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import seeded_order
 from siftwright.functions.shared import stored
+from siftwright.operators.order import sections
 from siftwright.operators.prep import per_feature, project
-from siftwright.operators.sites import global_rank
 
 #: Rows of a block in the nearest-neighbour comparison.
 BLOCK = 4096
@@ -20,15 +20,9 @@ BLOCK = 4096
 
 def split(rows: DataFrame, ratio: float = 0.3, seed: int = 0, stratified: bool = False) -> DataFrame:
     """Adds ``is_test``: the first ceil(ratio * n) rows in a seeded random order, of all rows or of
-    each class."""
-    if not stratified:
-        n = rows.count()
-        return global_rank(rows, seeded_order(seed, "row_id"), "row_id").withColumn("is_test", F.col("place") < math.ceil(ratio * n)).drop("place")
-    sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
-    ranked = global_rank(rows, "y", seeded_order(seed, "row_id"), "row_id")
-    starts = ranked.groupBy("y").agg(F.min("place").alias("_first"))
-    known = sizes.join(starts, "y")  # a row per class
-    return ranked.join(F.broadcast(known), "y").withColumn("is_test", F.col("place") - F.col("_first") < F.ceil(F.lit(ratio) * F.col("_n"))).drop("place", "_n", "_first")
+    each class. Rows do not move."""
+    parts = sections(rows, seeded_order(seed, "row_id"), lambda n: [math.ceil(ratio * n)], "y" if stratified else None)
+    return parts.withColumn("is_test", F.col("section") == 0).drop("section")
 
 
 def scale(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import bin_of
+from siftwright.operators import order
 from siftwright.operators.sites import global_rank
 
 
@@ -82,18 +83,12 @@ def per_feature(stats: DataFrame, *names: str) -> DataFrame:
 
 
 def medians(rows: DataFrame, exact: bool = True) -> DataFrame:
-    """(feature, med): the mean of the two middle values if their number is even.
-
-    Exact ones come from one range sort of all values by feature, whose places tell the middle, so
-    no feature's values meet in a task. The approximate form moves only a bounded summary of each."""
+    """(feature, med): the mean of the two middle values if their number is even. Exact ones come from
+    refined histograms; the approximate form moves only a bounded summary of each task's values."""
+    if exact:
+        return order.medians(rows)
     long = rows.select(F.posexplode("features").alias("feature", "x")).filter("x IS NOT NULL")
-    if not exact:
-        return long.groupBy("feature").agg(F.percentile_approx("x", 0.5, 10000).alias("med"))
-    placed = global_rank(long, "feature", "x")
-    spans = placed.groupBy("feature").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))
-    at = F.col("place") - F.col("_first")
-    middle = placed.join(F.broadcast(spans), "feature").filter((at == F.floor((F.col("_n") - 1) / 2)) | (at == F.floor(F.col("_n") / 2)))  # a row per feature
-    return middle.groupBy("feature").agg(F.avg("x").alias("med"))
+    return long.groupBy("feature").agg(F.percentile_approx("x", 0.5, 10000).alias("med"))
 
 
 def impute_median(rows: DataFrame, exact: bool = True) -> DataFrame:

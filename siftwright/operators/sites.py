@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import seeded_order
 from siftwright.functions.shared import stored
+from siftwright.operators.order import sections
 
 
 def global_rank(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
@@ -31,12 +32,10 @@ def assigned(rows: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def iid(rows: DataFrame, clients: int, seed: int = 0) -> DataFrame:
-    """Equal shares in a seeded random order; what does not divide gets no client and is left out."""
-    share = rows.count() // clients
-    if not share:
-        return rows.limit(0).withColumn("client", F.lit(0).cast("long"))
-    ranked = global_rank(rows, seeded_order(seed, "row_id"), "row_id")
-    return ranked.withColumn("client", F.floor(F.col("place") / share)).filter(F.col("client") < clients).drop("place")
+    """Equal shares in a seeded random order; what does not divide gets no client and is left out. Rows
+    do not move: fences in the order tell their clients."""
+    shares = lambda n: [n // clients * i for i in range(1, clients + 1)]
+    return sections(rows, seeded_order(seed, "row_id"), shares, name="client").withColumn("client", F.col("client").cast("long")).filter(F.col("client") < clients)
 
 
 def label_shards(rows: DataFrame, clients: int, owners: list[int] | None = None, seed: int = 0) -> DataFrame:
