@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import bin_of, bin_sql, seeded_order
-from siftwright.functions.shared import fresh_path
-from siftwright.operators import counts as C, evaluate, information as I, pairs, prep, select, sites, telemetry
+from siftwright.functions.shared import fresh_path, stored
+from siftwright.operators import counts as C, evaluate, information as I, logistic, pairs, prep, select, sites, telemetry
+from siftwright.operators.neighbours import nearest
 from siftwright.sources import files
 from siftwright.sources.views import CLIENTS, EMB_SQL, LI_FEATURES, LI_SQL, embeddings as emb, lineitem, table
 from siftwright.streaming import replay, rollups, rounds, tables
@@ -149,6 +150,19 @@ def neighbours(spark, d):
     return evaluate.nearest_neighbours(split_rows(spark, d))
 
 
+def eval_knn_nearest(spark, d):
+    """The five nearest training rows of each test row, with their squared distances."""
+    rows = split_rows(spark, d)
+    best, _ = nearest(rows.filter("is_test"), rows.filter("NOT is_test"))
+    return best.select("row_id", "near", "label", *_r("d"))
+
+
+def eval_lr_gradient(spark, d):
+    """The slope of each label's sum of losses at the weights found, which is 0 at the least."""
+    train = stored(evaluate.scale(split_rows(spark, d)).filter("NOT is_test"), "train")
+    return logistic.gradients(train, *logistic.fit(train)).select("label", F.round("slope", 2).alias("slope"))
+
+
 def eval_confusion(spark, d):
     return evaluate.confusion(neighbours(spark, d), emb(spark, d))
 
@@ -332,12 +346,14 @@ QUERIES = {
     "eval_scale": lambda s, d: evaluate.scale(split_rows(s, d)).select("row_id", F.posexplode("features").alias("feature", "x")).select("row_id", "feature", *_r("x")),
     "eval_gnb": bayes,
     "eval_knn": neighbours,
+    "eval_knn_nearest": eval_knn_nearest,
     "eval_confusion": eval_confusion,
     "eval_class_report": lambda s, d: evaluate.class_report(eval_confusion(s, d)).select("label", *_r("precision", "recall", "f1"), "support"),
     "eval_accuracy_micro": lambda s, d: evaluate.accuracy_micro(bayes(s, d)).select(*_r("accuracy", "precision_micro", "recall_micro", "f1_micro")),
     "eval_iterations": lambda s, d: evaluate.iterate(emb(s, d), "gnb", 2, RATIO).select("iterations", *_r("mean_accuracy", "std_accuracy")),
     "eval_loop_gnb": lambda s, d: evaluate.loop(emb(s, d), "gnb", 2, RATIO, features=list(PICKED)).select("iteration", *_r("accuracy", "precision_micro", "recall_micro", "f1_micro")),
     "eval_rf": lambda s, d: evaluate.random_forest(split_rows(s, d)),
+    "eval_lr_gradient": eval_lr_gradient,
     "eval_lr": lambda s, d: evaluate.logistic_regression(evaluate.scale(split_rows(s, d))),
     "telemetry_phase_times": lambda s, d: telemetry.slowest(telemetry.client_phases(reports(s, d))).select("phase", *_r("seconds")),
     "telemetry_profile": lambda s, d: telemetry.profile(reports(s, d), "signup", "view", "click", "purchase").select(*_r("load", "pre", "compute", "comm", "total", "others")),
@@ -510,6 +526,8 @@ ORACLE = {
     "eval_scale": f"WITH {_S}, {_STATS} SELECT row_id, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM sl JOIN st USING (feature)",
     "eval_gnb": f"WITH {_S}, {_gnb()} SELECT * FROM gp",
     "eval_knn": f"WITH {_KNN} SELECT * FROM gp",
+    "eval_knn_nearest": f"WITH {_S}, n AS (SELECT t.row_id, r.row_id AS near, r.y AS label, pow(list_distance(t.features, r.features), 2) AS d, row_number() OVER (PARTITION BY t.row_id ORDER BY list_distance(t.features, r.features), r.row_id) AS o FROM s t JOIN s r ON t.is_test AND NOT r.is_test) SELECT row_id, near, label, round(d, 6) AS d FROM n WHERE o <= 5",
+    "eval_lr_gradient": f"WITH {_S} SELECT y AS label, 0.0 AS slope FROM s WHERE NOT is_test GROUP BY y",
     "eval_confusion": f"WITH {_KNN} SELECT * FROM cm",
     "eval_class_report": f"WITH {_KNN}, {_REPORT}",
     "eval_accuracy_micro": f"WITH {_S}, {_gnb()}, a AS (SELECT round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS a FROM gp) SELECT a AS accuracy, a AS precision_micro, a AS recall_micro, a AS f1_micro FROM a",

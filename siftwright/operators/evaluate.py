@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siftwright.functions.expressions import seeded_order
 from siftwright.functions.shared import stored
+from siftwright.operators import logistic
+from siftwright.operators.iterations import bayes_iterations
+from siftwright.operators.neighbours import prepared
 from siftwright.operators.order import sections
 from siftwright.operators.prep import per_feature, project
 
-#: Rows of a block in the nearest-neighbour comparison.
-BLOCK = 4096
-
 
 def split(rows: DataFrame, ratio: float = 0.3, seed: int = 0, stratified: bool = False) -> DataFrame:
     """Adds ``is_test``: the first ceil(ratio * n) rows in a seeded random order, of all rows or of
@@ -36,89 +35,78 @@ def scale(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(row)).withColumn("features", scaled).drop("_mean", "_std")
 
 
-def gaussian_bayes(rows: DataFrame) -> DataFrame:
-    """(row_id, y, pred) of the test rows. The model, a row per class, travels to every task."""
-    train = rows.filter("NOT is_test")
+Predictor = Callable[[DataFrame], DataFrame]
+
+
+def fit_gaussian_bayes(train: DataFrame) -> Predictor:
+    """The model, a row per class, travels to every task."""
     long = train.select("y", F.posexplode("features").alias("feature", "x"))
     by_class = long.groupBy("y", "feature").agg(F.avg("x").alias("mu"), F.var_pop("x").alias("v"))
     floor = 1e-9 * (long.groupBy("feature").agg(F.var_pop("x").alias("v")).agg(F.max("v")).first()[0] or 0.0)
     total = train.count()
     prior = train.groupBy("y").agg(F.log(F.count("*") / F.lit(max(total, 1))).alias("prior"))
     model = by_class.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("feature", "mu", (F.col("v") + floor).alias("v")))).alias("m"))
-    model = model.join(prior, "y").agg(F.collect_list(F.struct("y", "prior", "m")).alias("_model"))
+    model = stored(model.join(prior, "y").agg(F.collect_list(F.struct("y", "prior", "m")).alias("_model")), "model")
 
     def score(c):
         terms = F.zip_with("features", c["m"], lambda x, m: -0.5 * F.log(2 * math.pi * m["v"]) - (x - m["mu"]) * (x - m["mu"]) / (2 * m["v"]))
         return F.struct((-F.aggregate(terms, c["prior"], lambda s, t: s + t)).alias("cost"), c["y"].alias("y"))
 
-    test = rows.filter("is_test").join(F.broadcast(model))
-    return test.select("row_id", "y", F.array_min(F.transform("_model", score))["y"].alias("pred"))
+    return lambda test: test.join(F.broadcast(model)).select("row_id", "y", F.array_min(F.transform("_model", score))["y"].alias("pred"))  # one row
 
 
-def nearest_neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
-    """(row_id, y, pred): the majority among the k nearest training rows, ties to the smallest
-    label. Test and training rows meet block by block; each block pair keeps k per test row."""
-    test, train = rows.filter("is_test"), rows.filter("NOT is_test")
-    blocks = lambda n: max(1, -(-n // BLOCK))
-    n_test, n_train = blocks(test.count()), blocks(train.count())
-    number = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = test.select("row_id", "y", "features", number(n_test).alias("a"), every(n_train).alias("b"))
-    right = train.select(F.col("row_id").alias("near"), F.col("y").alias("label"), F.col("features").alias("vector"), every(n_test).alias("c"), number(n_train).alias("d"))
-
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        return np.array(t.column(name).to_pylist(), dtype=np.float64)
-
-    def compare(asked: pa.Table, known: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        if asked.num_rows and known.num_rows:
-            near, ids, labels = matrix(known, "vector"), known.column("near").to_numpy(), known.column("label").to_numpy()
-            rows, vectors, squares = asked.column("row_id").to_pylist(), matrix(asked, "features"), (near**2).sum(1)
-            most = min(k, len(ids)) - 1
-            for at in range(0, len(rows), 256):  # a matrix product finds the few that can be nearest; these are measured
-                part_x = vectors[at : at + 256]
-                rough = squares[None] - 2 * part_x @ near.T
-                cut = np.partition(rough, most, axis=1)[:, most] + 1e-9 * (squares.max() + (part_x**2).sum(1))
-                for i, x, row, c in zip(rows[at : at + 256], part_x, rough, cut):
-                    few = np.flatnonzero(row <= c)
-                    d = ((near[few] - x) ** 2).sum(1)
-                    best = np.lexsort((ids[few], d))[:k]
-                    for part, values in zip(out, (np.full(len(best), i), ids[few[best]], labels[few[best]], d[best])):
-                        part.append(values)
-        cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.zeros(0), kind)
-        return pa.table({"row_id": cat(out[0], pa.int64()), "near": cat(out[1], pa.int64()), "label": cat(out[2], pa.int32()), "d": cat(out[3], pa.float64())})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInArrow(compare, "row_id long, near long, label int, d double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy("d", "near"))).filter(F.col("r") <= k)
-    votes = best.groupBy("row_id", "label").agg(F.count("*").alias("n"))
-    pred = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v")).select("row_id", F.col("v.label").alias("pred"))
-    return test.select("row_id", "y").join(pred, "row_id")
+def fit_nearest_neighbours(train: DataFrame, k: int = 5) -> Predictor:
+    search = prepared(train, k)
+
+    def predict(test: DataFrame) -> DataFrame:
+        best, _ = search(test)
+        votes = best.groupBy("row_id", "label").agg(F.count("*").alias("n"))
+        pred = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v")).select("row_id", F.col("v.label").alias("pred"))
+        return test.select("row_id", "y").join(pred, "row_id")
+
+    return predict
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    return rows.select("row_id", F.col("y").cast("double").alias("label"), "is_test", array_to_vector("features").alias("vector"))
+    return rows.select("row_id", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("vector"))
 
 
-def _ml(rows: DataFrame, estimator) -> DataFrame:
-    ready = stored(_assembled(rows), "assembled")  # fitting passes over it many times
-    model = estimator.fit(ready.filter("NOT is_test"))
-    return model.transform(ready.filter("is_test")).select("row_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+def fit_random_forest(train: DataFrame, trees: int = 100, seed: int = 0) -> Predictor:
+    from pyspark.ml.classification import RandomForestClassifier
 
+    ready = stored(_assembled(train), "assembled")  # fitting passes over it many times
+    model = RandomForestClassifier(featuresCol="vector", numTrees=trees, seed=seed).fit(ready)
+    return lambda test: model.transform(_assembled(test)).select("row_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
 
-def random_forest(rows: DataFrame, trees: int = 100, seed: int = 0) -> DataFrame:
-    from pyspark.ml.classification import RandomForestClassifier
 
-    return _ml(rows, RandomForestClassifier(featuresCol="vector", numTrees=trees, seed=seed))
+def fit_logistic_regression(train: DataFrame, iterations: int = 1000) -> Predictor:
+    """One against the rest, with a penalty of unit strength on all weights and the intercept."""
+    labels, weights = logistic.fit(stored(train.select("y", "features"), "train"), iterations)
+    return lambda test: logistic.predict(test, labels, weights)
 
 
-def logistic_regression(rows: DataFrame, iterations: int = 1000) -> DataFrame:
-    """One-vs-rest with the penalty of unit strength over all training rows."""
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
+def _both(fit: Callable[..., Predictor], rows: DataFrame, *args) -> DataFrame:
+    return fit(rows.filter("NOT is_test"), *args)(rows.filter("is_test"))
+
+
+def gaussian_bayes(rows: DataFrame) -> DataFrame:
+    """(row_id, y, pred) of the test rows of ``rows(row_id, y, features, is_test)``, as the following."""
+    return _both(fit_gaussian_bayes, rows)
 
-    n = rows.filter("NOT is_test").count()
-    return _ml(rows, OneVsRest(parallelism=4, featuresCol="vector", classifier=LogisticRegression(featuresCol="vector", maxIter=iterations, regParam=1 / max(n, 1), standardization=False)))
+
+def nearest_neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
+    """The majority among the k nearest training rows, ties to the smallest label."""
+    return _both(fit_nearest_neighbours, rows, k)
+
+
+def random_forest(rows: DataFrame, trees: int = 100, seed: int = 0) -> DataFrame:
+    return _both(fit_random_forest, rows, trees, seed)
+
+
+def logistic_regression(rows: DataFrame, iterations: int = 1000) -> DataFrame:
+    return _both(fit_logistic_regression, rows, iterations)
 
 
 def confusion(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,35 +139,65 @@ def accuracy_micro(predictions: DataFrame) -> DataFrame:
     return predictions.agg(*[right.alias(c) for c in ("accuracy", "precision_micro", "recall_micro", "f1_micro")])
 
 
-MODELS = {"gnb": gaussian_bayes, "knn": nearest_neighbours, "rf": random_forest, "lr": logistic_regression}
+MODELS = {"gnb": fit_gaussian_bayes, "knn": fit_nearest_neighbours, "rf": fit_random_forest, "lr": fit_logistic_regression}
 
 
-def loop(rows: DataFrame, model: str = "gnb", iterations: int = 3, ratio: float = 0.3, seed: int = 0, features: list[int] | None = None) -> DataFrame:
-    """A row per iteration: (iteration, accuracy, precision_micro, recall_micro, f1_micro, macro_f1,
-    weighted_f1, seconds), over splits with seeds that follow each other, scaled by their training
-    rows. With ``features``, over these columns and plain splits, as the selection is to be judged;
-    without, over all columns and splits within each class. ``seconds`` is the wall time of fitting
-    and predicting."""
+def _known(model: str) -> Callable[..., Predictor]:
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
+    return MODELS[model]
+
+
+def loop(rows: DataFrame, model: str = "gnb", iterations: int = 3, ratio: float = 0.3, seed: int = 0, features: list[int] | None = None) -> DataFrame:
+    """A row per iteration: (iteration, accuracy, precision_micro, recall_micro, f1_micro, macro_f1,
+    weighted_f1, fit_seconds, predict_seconds), over splits with seeds that follow each other, scaled by
+    their training rows. With ``features``, over these columns and plain splits, as the selection is to be
+    judged; without, over all columns and splits within each class.
+
+    The Gaussian model's iterations share their passes, and their times evenly."""
+    fit = _known(model)
     used = rows if features is None else project(rows, features)
-    each = None
+    if model == "gnb":
+        return metrics(*bayes_iterations(used, iterations, ratio, seed, features is None))
+    each, times = None, []
     for i in range(iterations):
         start = time.time()
-        predictions = stored(MODELS[model](scale(split(used, ratio, seed + i, features is None))), "predictions")
-        took = time.time() - start
-        means = class_report(confusion(predictions, rows)).filter("label IN ('macro', 'weighted')").groupBy().agg(*[F.max(F.when(F.col("label") == m, F.col("f1"))).alias(f"{m}_f1") for m in ("macro", "weighted")])
-        one = accuracy_micro(predictions).join(F.broadcast(means)).select(F.lit(i).alias("iteration"), "*", F.lit(took).alias("seconds"))  # a row each
-        each = one if each is None else each.unionByName(one)
-    return each
+        scaled = stored(scale(split(used, ratio, seed + i, features is None)), "scaled")
+        predictor = fit(scaled.filter("NOT is_test"))
+        fitted = time.time()
+        cells = stored(predictor(scaled.filter("is_test")).groupBy(F.lit(i).alias("iteration"), "y", "pred").agg(F.count("*").alias("c")), "predictions")
+        times.append((i, fitted - start, time.time() - fitted))
+        each = cells if each is None else each.unionByName(cells)
+    return metrics(each, times)
+
+
+def metrics(cells: DataFrame, times: list[tuple[int, float, float]]) -> DataFrame:
+    """The rows of ``loop`` from the iterations' counts (iteration, y, pred, c); a label that is absent
+    where it is looked for counts as 0."""
+    right = F.sum(F.when(F.col("y") == F.col("pred"), F.col("c")).otherwise(0))
+    told = cells.groupBy("iteration").agg((right / F.sum("c")).alias("accuracy"))
+    own = cells.groupBy("iteration", F.col("y").alias("l")).agg(F.sum("c").alias("s"), right.alias("t"))
+    named = cells.groupBy("iteration", F.col("pred").alias("l")).agg(F.sum("c").alias("p"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    f1 = ratio(2 * F.coalesce("t", F.lit(0)), F.coalesce("s", F.lit(0)) + F.coalesce("p", F.lit(0)))
+    means = own.join(named, ["iteration", "l"], "full").withColumn("f1", f1).groupBy("iteration").agg(F.avg("f1").alias("macro_f1"), ratio(F.sum(F.col("f1") * F.coalesce("s", F.lit(0))), F.sum("s")).alias("weighted_f1"))
+    took = cells.sparkSession.createDataFrame(times, "iteration int, fit_seconds double, predict_seconds double")
+    return told.join(means, "iteration").join(F.broadcast(took), "iteration").select("iteration", *[F.col("accuracy").alias(c) for c in ("accuracy", "precision_micro", "recall_micro", "f1_micro")], "macro_f1", "weighted_f1", "fit_seconds", "predict_seconds")  # a row per iteration
+
+
+def summary(each: DataFrame) -> DataFrame:
+    """(iterations, mean_accuracy, std_accuracy, mean_fit_seconds, mean_predict_seconds) of ``loop``."""
+    return each.agg(F.count("*").alias("iterations"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("fit_seconds").alias("mean_fit_seconds"), F.avg("predict_seconds").alias("mean_predict_seconds"))
 
 
 def iterate(rows: DataFrame, model: str = "gnb", iterations: int = 3, ratio: float = 0.3, seed: int = 0, stratified: bool = False) -> DataFrame:
     """(iterations, mean_accuracy, std_accuracy) over splits with seeds that follow each other."""
-    if model not in MODELS:
-        raise ValueError(f"unknown model: {model}")
-    each = None
-    for i in range(iterations):
-        one = MODELS[model](scale(split(rows, ratio, seed + i, stratified))).agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("a"))
-        each = one if each is None else each.unionByName(one)
-    return each.agg(F.count("*").alias("iterations"), F.avg("a").alias("mean_accuracy"), F.stddev_pop("a").alias("std_accuracy"))
+    fit = _known(model)
+    if model == "gnb":
+        each = metrics(*bayes_iterations(rows, iterations, ratio, seed, stratified))
+    else:
+        each = None
+        for i in range(iterations):
+            one = _both(fit, scale(split(rows, ratio, seed + i, stratified))).agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
+            each = one if each is None else each.unionByName(one)
+    return each.agg(F.count("*").alias("iterations"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))

@@ -105,20 +105,20 @@ def medians(rows: DataFrame) -> DataFrame:
     return spark.createDataFrame([(g, (found[g, 0] + found[g, 1]) / 2) for g in sorted({g for g, _ in found})], "feature int, med double")
 
 
-def sections(rows: DataFrame, order: Column, ranks: Callable[[int], list[int]], by: str | None = None, tie: str = "row_id", name: str = "section") -> DataFrame:
-    """Adds the number of fences that a row is not before, in the order of ``order``, a text in
-    hexadecimal, and then ``tie``, all rows or each group ``by``. ``ranks(n)`` gives the places, from 0,
-    of the first rows behind the fences of n rows; a place that is not there fences nothing off.
+def key_of(order: Column) -> Column:
+    """The first digits of a text in hexadecimal, as a number."""
+    return F.conv(F.substring(order, 1, BITS // 4), 16, 10).cast("long")
 
-    Rows stay where they are; only those whose first digits are a fence's meet, and they are one each
-    unless ``tie`` repeats."""
-    spark = rows.sparkSession
-    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    keyed = rows.withColumns({"_key": F.conv(F.substring(order, 1, BITS // 4), 16, 10).cast("long"), "_group": group})
+
+def fences_of(keys: DataFrame, ranks: Callable[[int], list[int]]) -> dict[str, list[tuple[int, int]]]:
+    """For each group of ``keys(group, key)`` and each place of ``ranks(n)`` that is there: (key, left), the
+    key at that place and how many equal ones come before it, or a lower bound of the key that nothing
+    lies between, and 0. Places below 0 give a key below all."""
+    spark = keys.sparkSession
     fences: dict[str, list[tuple[int, int]]] = {}
     wanted: list[tuple[str, int, int, int]] = []
     for shift in range(BITS - STEP, -1, -STEP):
-        cells = keyed.select(F.col("_group").alias("group"), F.shiftright("_key", shift + STEP).alias("prefix"), F.shiftright("_key", shift).bitwiseAND(F.lit((1 << STEP) - 1)).alias("cell"))
+        cells = keys.select("group", F.shiftright("key", shift + STEP).alias("prefix"), F.shiftright("key", shift).bitwiseAND(F.lit((1 << STEP) - 1)).alias("cell"))
         if wanted:
             open_cells = spark.createDataFrame(sorted({w[:2] for w in wanted}), "group string, prefix long")
             cells = cells.join(F.broadcast(open_cells), ["group", "prefix"])  # a few fences to a group
@@ -139,6 +139,20 @@ def sections(rows: DataFrame, order: Column, ranks: Callable[[int], list[int]],
                 wanted.append((r["group"], cell, r["place"], r["left"]))
         if not wanted:
             break
+    return fences
+
+
+def sections(rows: DataFrame, order: Column, ranks: Callable[[int], list[int]], by: str | None = None, tie: str = "row_id", name: str = "section") -> DataFrame:
+    """Adds the number of fences that a row is not before, in the order of ``order``, a text in
+    hexadecimal, and then ``tie``, all rows or each group ``by``. ``ranks(n)`` gives the places, from 0,
+    of the first rows behind the fences of n rows; a place that is not there fences nothing off.
+
+    Rows stay where they are; only those whose first digits are a fence's meet, and they are one each
+    unless ``tie`` repeats."""
+    spark = rows.sparkSession
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    keyed = rows.withColumns({"_key": key_of(order), "_group": group})
+    fences = fences_of(keyed.select(F.col("_group").alias("group"), F.col("_key").alias("key")), ranks)
     listed = [(g, [{"key": k, "left": left} for k, left in sorted(of)]) for g, of in fences.items()]
     table = spark.createDataFrame(listed, "_group string, _fences array<struct<key: long, left: long>>")
     known = keyed.join(F.broadcast(table), "_group")  # a row per group
