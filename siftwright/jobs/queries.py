@@ -167,16 +167,55 @@ def eval_confusion(spark, d):
     return evaluate.confusion(neighbours(spark, d), emb(spark, d))
 
 
+def of_events(rows):
+    return rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("phase"), F.col("value").alias("seconds"), "props")
+
+
 def reports(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
+    return of_events(table(spark, d, "events"))
 
 
 def energy(rows):
-    return rows.filter("phase = 'purchase'").withColumnRenamed("seconds", "kwh")
+    """Purchases as reports of energy, with the number in their properties as hundredths of CO2."""
+    return rollups.parsed(rows.filter("phase = 'purchase'").withColumnRenamed("seconds", "kwh"), "k INT").withColumn("co2_kg", F.col("k") / 100)
+
+
+def records(spark, d):
+    """A client's day as a record of phases; one without clicks or purchases lacks a time that it needs."""
+    rows = reports(spark, d).withColumn("day", F.to_date("ts"))
+    of = lambda phase: F.sum(F.when(F.col("phase") == phase, F.col("seconds")))
+    return rows.groupBy("client", "day").agg(of("signup").alias("load"), of("view").alias("pre"), of("click").alias("compute"), of("purchase").alias("comm"))
+
+
+def telemetry_profile(spark, d):
+    rows = reports(spark, d)
+    server = rows.filter("phase = 'error'").select(F.when(F.col("id") % 2 == 0, "agg").otherwise("mi").alias("phase"), "seconds")
+    span = rows.agg(((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("span"))
+    return telemetry.profile(records(spark, d), server, span).select(*_r("load", "pre", "compute", "comm", "agg", "mi", "total", "others"))
+
+
+def json_messages(spark, d):
+    """Events as JSON messages and back."""
+    rows = table(spark, d, "events").select("event_type", F.col("event_id").alias("id"), F.col("user_id").alias("client"))
+    back = rollups.parsed(rollups.as_messages(rows, "id", "client").withColumn("chars", F.length("props")), "id LONG, client LONG")
+    return back.groupBy("event_type").agg(F.count("id").alias("n"), F.sum("id").alias("ids"), F.sum("client").alias("clients"), F.sum("chars").alias("chars"))
+
+
+def combine_valid(spark, d):
+    """Client 1 sends a cell that the table does not have, client 2 a negative number of rows."""
+    probs = site_probs(spark, d)
+    bad = probs.withColumn("bin", F.when((F.col("client") == 1) & (F.col("feature") == 0), F.col("bin") + BINS).otherwise(F.col("bin"))).withColumn("n", F.when(F.col("client") == 2, -F.col("n")).otherwise(F.col("n")))
+    return C.combine(bad, CLIENTS, shape=SHAPE).select("feature", "bin", "y", *_r("p"))
+
+
+def select_jmi_incomplete(spark, d):
+    """Client 1 has no values of the odd features, so no pair with them is complete."""
+    rows = emb_bins(spark, d).withColumn("bins", F.transform("bins", lambda b, i: F.when((F.col("client") != 1) | (i % 2 == 0), b)))
+    return select.jmi(rows, 3, BINS, "simple").select("rank", "feature", *_r("score"))
 
 
 def streamed_reports(spark, d):
-    return rollups.stream_of(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
+    return of_events(rollups.stream_of(spark, d, "events"))
 
 
 def streamed_counts(spark, d):
@@ -215,7 +254,7 @@ def stream_phase_times(spark, d):
 
 
 def stream_energy(spark, d):
-    return telemetry.total_energy(rollups.drained(telemetry.last_energy(energy(streamed_reports(spark, d))), "client")).select("clients", *_r("kwh"))
+    return telemetry.total_energy(rollups.drained(telemetry.last_energy(energy(streamed_reports(spark, d))), "client")).select("clients", *_r("kwh", "co2_kg"))
 
 
 def arriving(rows, *lags):
@@ -356,8 +395,13 @@ QUERIES = {
     "eval_lr_gradient": eval_lr_gradient,
     "eval_lr": lambda s, d: evaluate.logistic_regression(evaluate.scale(split_rows(s, d))),
     "telemetry_phase_times": lambda s, d: telemetry.slowest(telemetry.client_phases(reports(s, d))).select("phase", *_r("seconds")),
-    "telemetry_profile": lambda s, d: telemetry.profile(reports(s, d), "signup", "view", "click", "purchase").select(*_r("load", "pre", "compute", "comm", "total", "others")),
-    "telemetry_energy": lambda s, d: telemetry.total_energy(telemetry.last_energy(energy(reports(s, d)))).select("clients", *_r("kwh")),
+    "telemetry_records": lambda s, d: telemetry.client_records(records(s, d)).select(F.col("client").cast("long").alias("client"), *_r("load", "pre", "compute", "comm")),
+    "telemetry_profile": telemetry_profile,
+    "json_messages": json_messages,
+    "combine_fallback": lambda s, d: C.combine(site_probs(s, d).withColumn("n", F.lit(0)), CLIENTS, True, SHAPE).select("feature", "bin", "y", *_r("p")),
+    "combine_valid": combine_valid,
+    "select_jmi_incomplete": select_jmi_incomplete,
+    "telemetry_energy": lambda s, d: telemetry.total_energy(telemetry.last_energy(energy(reports(s, d)))).select("clients", *_r("kwh", "co2_kg")),
     "stream_joint_counts": stream_joint_counts,
     "stream_information": stream_information,
     "stream_json": stream_json,
@@ -431,14 +475,22 @@ def _rounds(n, features="true"):
 
 
 _PHASES = "SELECT phase, round(max(seconds), 6) AS seconds FROM (SELECT user_id, event_type AS phase, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY phase"
-_ENERGY = "SELECT count(*) AS clients, round(sum(kwh), 6) AS kwh FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS kwh FROM events WHERE event_type = 'purchase' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id)"
+_ENERGY = """SELECT count(*) AS clients, round(sum(v.kwh), 6) AS kwh, round(sum(v.co2), 6) AS co2_kg FROM (SELECT user_id, arg_max({'kwh': value, 'co2': coalesce(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER), 0) / 100}, (ts, event_id)) AS v
+FROM events WHERE event_type = 'purchase' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id)"""
 _STREAM_ROWS = " UNION ALL ".join(f"SELECT l_suppkey % {CLIENTS} AS client, {i} AS feature, {bin_sql(c, a, b, BINS)} AS bin, l_returnflag AS y, l_quantity AS q FROM lineitem" for i, (c, a, b) in enumerate((("l_quantity", "1.0::DOUBLE", "50.0::DOUBLE"), ("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"))))
 _STREAM = " UNION ALL ".join(f"SELECT l_suppkey % {CLIENTS} AS client, {i} AS feature, {bin_sql(c, a, b, BINS)} AS bin, l_returnflag AS y FROM lineitem WHERE {c} IS NOT NULL" for i, (c, a, b) in enumerate((("l_quantity", "1.0::DOUBLE", "50.0::DOUBLE"), ("l_discount", "0.0::DOUBLE", "0.1::DOUBLE"))))
 
-_WORST = "SELECT event_type AS phase, max(seconds) AS worst, sum(seconds) AS total FROM (SELECT user_id, event_type, sum(coalesce(value, 0)) AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) GROUP BY event_type"
-_PROFILE = f"""WITH w AS ({_WORST}), p AS (SELECT max(worst) FILTER (WHERE phase = 'signup') AS load, max(worst) FILTER (WHERE phase = 'view') AS pre, max(worst) FILTER (WHERE phase = 'click') AS compute, max(total) FILTER (WHERE phase = 'purchase') AS comm FROM w),
+#: Records that lack a client, clicks or purchases are out; of the others, each client's sums.
+_RECORDS = """r AS (SELECT user_id AS client, CAST(ts AS DATE) AS day, coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0) AS load, coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) AS pre,
+  sum(value) FILTER (WHERE event_type = 'click') AS compute, sum(value) FILTER (WHERE event_type = 'purchase') AS comm FROM events GROUP BY ALL),
+c AS (SELECT client, sum(load) AS load, sum(pre) AS pre, sum(compute) AS compute, sum(comm) AS comm FROM r WHERE client IS NOT NULL AND compute IS NOT NULL AND comm IS NOT NULL GROUP BY client)"""
+#: Each time is the slowest client's; the server's own are summed, and go from what is left without a bound.
+_PROFILE = f"""WITH {_RECORDS}, m AS (SELECT coalesce(max(load), 0) AS load, coalesce(max(pre), 0) AS pre, coalesce(max(compute), 0) AS compute, coalesce(max(comm), 0) AS comm FROM c),
+s AS (SELECT coalesce(sum(value) FILTER (WHERE event_id % 2 = 0), 0) AS agg, coalesce(sum(value) FILTER (WHERE event_id % 2 <> 0), 0) AS mi FROM events WHERE event_type = 'error'),
 t AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM events)
-SELECT round(load, 6) AS load, round(pre, 6) AS pre, round(compute, 6) AS compute, round(comm, 6) AS comm, round(span - load, 6) AS total, round(greatest(0, span - load - compute - comm - pre), 6) AS others FROM p, t"""
+SELECT round(load, 6) AS load, round(pre, 6) AS pre, round(compute, 6) AS compute, round(comm, 6) AS comm, round(agg, 6) AS agg, round(mi, 6) AS mi, round(span - load, 6) AS total,
+  round(greatest(0, span - load - compute - comm - pre) - agg - mi, 6) AS others FROM m, s, t"""
+_INCOMPLETE = f"WITH {EMB_D.replace('FROM el JOIN rng', 'FROM (SELECT * FROM el WHERE client <> 1 OR feature % 2 = 0) el JOIN rng')}, ns AS (SELECT client, count(*) AS n FROM emb GROUP BY client), pc AS (SELECT feature, bin, y, sum(1.0 / n) / {CLIENTS}.0 AS p FROM d JOIN ns USING (client) GROUP BY ALL), fm AS {_mi('pc')}, {_SITE_PAIRS.replace('FROM pr JOIN ns', 'FROM (SELECT * FROM pr SEMI JOIN (SELECT k, j FROM pr GROUP BY k, j HAVING count(DISTINCT client) = 4) w USING (k, j)) pr JOIN ns')}, {_GREEDY.replace('GROUP BY k ORDER BY', 'GROUP BY k HAVING count(*) = 2 ORDER BY')}"
 #: The cleaned values: missing ones, rows without class and sparse features dropped, medians filled in.
 _CLEAN = f"""WITH {EMB_SQL}, h AS (SELECT row_id, row_id % 3 AS subject, y, feature, CASE WHEN feature % 2 = 0 AND x < 0 OR feature % 2 = 1 AND x < CAST(0.05 AS DOUBLE) THEN NULL ELSE x END AS x FROM el WHERE y <> 0),
 f AS (SELECT feature FROM (SELECT subject, feature, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS q FROM h GROUP BY ALL) GROUP BY feature HAVING max(q) <= 0.5), m AS (SELECT feature, median(x) AS med FROM h GROUP BY feature),
@@ -533,7 +585,12 @@ ORACLE = {
     "eval_accuracy_micro": f"WITH {_S}, {_gnb()}, a AS (SELECT round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS a FROM gp) SELECT a AS accuracy, a AS precision_micro, a AS recall_micro, a AS f1_micro FROM a",
     "eval_iterations": f"{_rounds(2)} SELECT count(*) AS iterations, round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM it",
     "eval_loop_gnb": f"{_rounds(2, f'feature IN {PICKED}')} SELECT iteration, round(a, 6) AS accuracy, round(a, 6) AS precision_micro, round(a, 6) AS recall_micro, round(a, 6) AS f1_micro FROM it",
+    "telemetry_records": f"WITH {_RECORDS} SELECT client, round(load, 6) AS load, round(pre, 6) AS pre, round(compute, 6) AS compute, round(comm, 6) AS comm FROM c",
     "telemetry_profile": _PROFILE,
+    "json_messages": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(user_id) AS BIGINT) AS clients, CAST(sum(length(to_json({'id': event_id, 'client': user_id})::VARCHAR)) AS BIGINT) AS chars FROM events GROUP BY event_type",
+    "combine_fallback": f"WITH {LI_D}, {_SITE} SELECT feature, bin, y, round(sum(p) / {CLIENTS}.0, 6) AS p FROM sp GROUP BY ALL",
+    "combine_valid": f"WITH {LI_D}, {_SITE} SELECT feature, bin, y, round(sum(p) / 2, 6) AS p FROM sp WHERE client NOT IN (1, 2) GROUP BY ALL",
+    "select_jmi_incomplete": _INCOMPLETE,
     "telemetry_phase_times": _PHASES,
     "telemetry_energy": _ENERGY,
     "stream_joint_counts": f"SELECT client, feature, bin, y, count(*) AS c FROM ({_STREAM}) WHERE y IS NOT NULL GROUP BY ALL",

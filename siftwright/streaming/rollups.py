@@ -50,6 +50,12 @@ def parsed(messages: DataFrame, schema: str, payload: str = "props") -> DataFram
     return messages.withColumn("_m", F.from_json(payload, schema)).select(*[c for c in messages.columns if c != payload], "_m.*")
 
 
+def as_messages(rows: DataFrame, *fields: str, payload: str = "props") -> DataFrame:
+    """``rows`` with the fields as one JSON message in the place of them; a field that is null is left out of
+    it. ``parsed`` is the way back."""
+    return rows.select(*[c for c in rows.columns if c not in fields], F.to_json(F.struct(*fields)).alias(payload))
+
+
 def first_reports(reports: DataFrame, clients: DataFrame, *fields: str) -> DataFrame:
     """(client, round, id, fields...): the first report, by time and then id, of each known client in
     each round, whatever the order in which reports arrive. The state is a row per client and round."""

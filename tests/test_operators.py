@@ -112,7 +112,8 @@ def test_errors_and_scaling(spark):
         prep.project(rows, [2])
     with pytest.raises(ValueError):
         select.select(rows, "other", 1)
-    assert telemetry.other_time(10, 3, 2, 1, 1, 1) == 2 and telemetry.other_time(1, 3, 2, 1) == 0
+    left = lambda *x: spark.range(1).select(telemetry.other_time(*map(F.lit, x))).first()[0]
+    assert left(10.0, 3.0, 2.0, 1.0, 1.0, 1.0) == 2 and left(1.0, 3.0, 2.0, 1.0, 0.5, 0.25) == -0.75
 
 
 def test_unequal_files(spark, tmp_path):
@@ -201,3 +202,15 @@ def test_shared_folder_on_a_cluster():
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(far)
+
+
+def test_profile(spark):
+    """Records that lack something go whole; each time is the slowest client's."""
+    rows = [("a", 1.0, 2.0, 3.0, 4.0), ("a", None, None, 1.0, 1.0), ("a", 9.0, 9.0, None, 9.0), ("b", 0.5, 5.0, 1.0, 9.0), (None, 50.0, 50.0, 50.0, 50.0), ("", 50.0, 50.0, 50.0, 50.0), ("c", 70.0, 70.0, 70.0, None)]
+    records = spark.createDataFrame(rows, "client string, load double, pre double, compute double, comm double")
+    server = spark.createDataFrame([("agg", 1.0), ("mi", 2.0), ("mi", 0.5)], "phase string, seconds double")
+    span = spark.createDataFrame([(20.0,)], "span double")
+    assert tuple(telemetry.profile(records, server, span).first()) == (1.0, 5.0, 4.0, 9.0, 1.0, 2.5, 19.0, -2.5)
+    assert tuple(telemetry.profile(records.limit(0), server.limit(0), span).first()) == (0, 0, 0, 0, 0, 0, 20.0, 20.0)
+    energy = spark.createDataFrame([("a", 1, 1, 1.0, 0.5), ("a", 1, 2, 3.0, None), ("b", 1, 1, None, 9.0), ("b", 0, 3, 2.0, 0.25), (None, 9, 9, 9.0, 9.0)], "client string, ts long, id long, kwh double, co2_kg double")
+    assert tuple(telemetry.total_energy(telemetry.last_energy(energy), 0.5, 0.125).first()) == (2, 5.5, 0.375)
