@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftwright.llm.common import crc_of, keep_texts, map_texts, table
 
-#: Bytes of a dictionary; pieces of a sampled document that go into it, and characters of each.
-DICT_BYTES, PIECES, PIECE_CHARS = 200_000, 4, 240
+#: Pieces of a sampled document that go into its language's dictionary, and characters of each.
+PIECES, PIECE_CHARS = 4, 240
 #: Documents sampled for each language, and sampled ids that may be broadcast.
 SAMPLE_ROWS, BROADCAST_ROWS = 200, 100_000
 #: Characters of text that are compressed together; level of compression.
@@ -55,15 +55,14 @@ def sample(docs: DataFrame) -> DataFrame:
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language, those with the most documents to learn from first; every
-    label is learned. An empty table gives none."""
+    label is learned, from all of its sample, whatever its script. A dictionary has SAMPLE_ROWS texts of
+    about PIECES * PIECE_CHARS characters at most. An empty table gives none."""
     rows = sorted((r["lang"], r["rank"], r["text"]) for r in sample(docs).collect())
     counts = learnable(docs).groupBy("lang").count().collect()
     out: dict[str, bytearray] = {r["lang"]: bytearray() for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))}
     for lang, _, text in rows:
-        own = out[lang]
-        if len(own) < DICT_BYTES:
-            own += text.lower().encode("utf-8", "replace") + b"\n"
-    return {k: bytes(v[:DICT_BYTES]).decode("utf-8", "ignore").encode("utf-8") for k, v in out.items()}
+        out[lang] += text.lower().encode("utf-8", "replace") + b"\n"
+    return {k: bytes(v) for k, v in out.items()}
 
 
 class Sizes:

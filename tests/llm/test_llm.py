@@ -504,3 +504,15 @@ def test_pipeline_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, SMALL)
             assert out.count() <= rows.count() and (name == "packing" or out.columns == rows.columns)
+
+
+def test_dictionaries_keep_every_sampled_text(spark):
+    """A script of two bytes a character has as many characters to learn from as one of one byte."""
+    rng = np.random.default_rng(3)
+    text = lambda letters, i: f"{i} " + "".join(rng.choice(list(letters), 3000))
+    rows = [(2 * i + k, text(letters, i), lang) for i in range(300) for k, (letters, lang) in enumerate((("abcdefgh ", "la"), ("абвгдежз ", "ru")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = {k: v.decode() for k, v in language_id.dictionaries(docs).items()}
+    sampled = language_id.sample(docs).collect()
+    assert {k: sum(r["lang"] == k for r in sampled) for k in content} == {"la": language_id.SAMPLE_ROWS, "ru": language_id.SAMPLE_ROWS}
+    assert all(r["text"].lower() in content[r["lang"]] for r in sampled) and len(content["ru"]) == len(content["la"])
