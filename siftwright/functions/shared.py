@@ -37,11 +37,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes what this application has put in the shared folder. Call it once the results that
-    were made of it have been written; a result that is still to be computed needs it."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    """Deletes what this application has put in the shared folder, its checkpoints included. Call it once
+    the results that were made of it have been written; a result that is still to be computed needs it."""
+    checkpoints = spark.sparkContext.getCheckpointDir()  # a folder of this application alone
+    for path in [*_made.pop(spark.sparkContext.applicationId, []), *([checkpoints] if checkpoints else [])]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(place, True)
+        if path == checkpoints:
+            system.mkdirs(place)
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:

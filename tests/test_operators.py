@@ -190,8 +190,15 @@ def test_release(spark):
     kept = shared.stored(spark.range(5).toDF("id"), "five")
     folder = kept.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 1)[0]
     assert kept.count() == 5 and os.path.isdir(folder)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared.shared_dir(spark))
+    spark.range(5).checkpoint()
+    held = sc.getCheckpointDir().removeprefix("file:").replace("///", "/")
+    assert os.listdir(held)
     shared.release(spark)
-    assert not os.path.exists(folder)
+    assert not os.path.exists(folder) and not os.listdir(held)
+    assert spark.range(7).checkpoint().count() == 7
 
 
 def test_shared_folder_on_a_cluster():
