@@ -137,9 +137,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third (rounded down) replaced by the beginning of the next
     document in descending order of doc_id; after the last comes the first. A null text is empty.
-    Rows that repeat an id follow each other in the order of their texts; a null id comes last.
+    Rows that repeat an id follow each other in the order of a hash of their texts, and then of these; a
+    null id comes last.
 
-    Texts move once, by range of doc_id. Each task fingerprints its run of documents as it streams
+    Texts move once, by ranges of that order, which cut an id that many rows have, and rows that are equal
+    by a number of their own. Each task fingerprints its run of documents as it streams
     by, one document behind; the last of a run waits for the first of the next run. Those two rows
     of each task are kept aside, in the same stored result, and joined afterwards: as many rows
     as tasks.
@@ -150,8 +152,9 @@ def with_edits(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in fields.split(", ")]
     schema = f"{fields}, part int, text string"
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    ranged = base.repartitionByRange(parallelism(spark), F.desc_nulls_last("doc_id")).sortWithinPartitions(*order)
+    base = base.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ranged = base.repartitionByRange(parallelism(spark), F.desc_nulls_last("doc_id"), "_hash", "_row")
+    ranged = ranged.sortWithinPartitions(F.desc_nulls_last("doc_id"), "_hash", "text", "_row").select("doc_id", "text")
 
     def run(batches):
         part = TaskContext.get().partitionId()

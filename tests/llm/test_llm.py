@@ -442,7 +442,7 @@ def test_language_by_direct_sizes(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     rare = spark.createDataFrame([(i, "xyzzy plugh frotz nitfol rezrov " * 3, "rare") for i in range(10_001, 10_006)], "doc_id long, text string, lang string")
     content = language_id.dictionaries(docs.unionByName(rare))
-    assert "rare" in content and all(len(c) <= language_id.DICT_BYTES for c in content.values())
+    assert "rare" in content and all(len(c.decode()) <= language_id.SAMPLE_ROWS * language_id.PIECES * (language_id.PIECE_CHARS + 1) for c in content.values())
     sizes = language_id.Sizes(content)
     for r in docs.limit(30).collect():
         text, direct = r["text"] or "", []
@@ -516,3 +516,17 @@ def test_dictionaries_keep_every_sampled_text(spark):
     sampled = language_id.sample(docs).collect()
     assert {k: sum(r["lang"] == k for r in sampled) for k in content} == {"la": language_id.SAMPLE_ROWS, "ru": language_id.SAMPLE_ROWS}
     assert all(r["text"].lower() in content[r["lang"]] for r in sampled) and len(content["ru"]) == len(content["la"])
+
+
+def test_edited_texts_of_one_id(spark, monkeypatch):
+    """An id, or no id, that most rows have is cut by ranges; each text still has one follower, in a ring."""
+    rows = [(5 if i % 3 else None if i % 2 else i, f"text {i % 90} " + "ab" * (i % 40)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(edit_fingerprint, "parallelism", lambda _: 8)
+    out = edit_fingerprint.with_edits(docs)
+    got = out.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert sorted(r["fingerprint"] for r in got) == sorted(map(edit_fingerprint.fingerprint, (t for _, t in rows)))
+    sizes = [r["n"] for r in spark.read.parquet(*{f for f in out.inputFiles()}).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 150
+
