@@ -10,6 +10,11 @@ estimate is not far below the threshold join their classes to a cluster. The ful
 cluster are then compared, each pair once whatever the number of bands it shares, and the links
 that hold join classes to components.
 
+A large cluster, which may be no more than much that many texts share, is narrowed first: of each set
+the rarest shingles, so many that linked sets have one of them in common, say which sets stay
+together. What is large then is compared within blocks, and only the sets that this has not joined to
+most others meet all.
+
 Tasks emit no pairs but what pairs join: of a group of n members at most n - 1 rows, (smallest,
 member) for each member of a joined set. A band or cluster too large for one task is dealt out as
 blocks.
@@ -41,6 +46,9 @@ BLOCK = 512
 #: Classes of a block where blocks meet each other: as many blocks as keep all tasks busy, but of
 #: no fewer classes than the first, no more than the second, and about so many shingles at most.
 FEW, MANY, MANY_SHINGLES = 128, 1024, 1_000_000
+#: Members of a cluster that is narrowed before its sets are compared; share of a cluster's members that
+#: have a common shingle, as one in so many.
+LARGE, RARITY = 1024, 50
 #: Cells of a matrix that counts common shingles at once.
 CELLS = 4_000_000
 _TOP = (1 << 16) - 1
@@ -326,10 +334,87 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return label
 
 
-def verified(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the members of each cluster of ``sets(cluster, blocks, node, set)``,
-    verified on the full sets; of each group of members that are compared, stars of what they join."""
-    dealt = in_pairs(sets, "cluster").select("cluster", "low", "high", "block", "node", "set")
+def _in_blocks(sets: DataFrame, *more: str) -> DataFrame:
+    """Adds the slot, of about LARGE members, that each member of a cluster is in."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("_n"))
+    slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / LARGE)).cast("int")
+    return sets.join(cut(sizes), "cluster").withColumn("slot", slot).select("cluster", "slot", "_n", "node", "set", *more)
+
+
+def _common(slots: DataFrame) -> DataFrame:
+    """(cluster, common): hashes that one in RARITY of a cluster's members has, the rarest first. Tasks count
+    within a slot and leave out what is rare there, so that a cluster has few; any order would do."""
+
+    def count(batches):
+        for t in whole_runs(batches, 2):
+            cluster, sets = t.column(0).to_numpy(), t.column(2).to_pylist()
+            runs = np.flatnonzero(np.diff(_runs_of(t.select([0, 1])), prepend=-1, append=-1)).tolist()
+            for a, b in zip(runs[:-1], runs[1:]):
+                values, n = np.unique(np.frombuffer(b"".join(sets[a:b]), dtype=np.uint64), return_counts=True)
+                some = n >= max(2, (b - a) / RARITY)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), cluster[a])), pa.array(values[some].view(np.int64)), pa.array(n[some])], names=["cluster", "hash", "n"])
+
+    dealt = slots.select("cluster", "slot", "set").repartition("cluster", "slot").sortWithinPartitions("cluster", "slot")
+    counts = dealt.mapInArrow(count, "cluster long, hash long, n long").groupBy("cluster", "hash").agg(F.sum("n").alias("n"))
+    sizes = slots.select("cluster", "_n").distinct()
+    kept = counts.join(sizes, "cluster").filter(F.col("n") * RARITY >= F.col("_n"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("n", "hash"))), lambda x: x["hash"])
+    return kept.groupBy("cluster").agg(hashes.alias("common"))
+
+
+def _rarest(slots: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """(cluster, token, node): of each set of n hashes the first n - ceil(percent / 100 * n) + 1, rare ones
+    before common ones. Linked sets have at least so much in common that the first common hash of the two is
+    among these of both."""
+    heads = slots.select("cluster", "slot").distinct().join(common, "cluster", "left").select("cluster", "slot", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("set"), "common")
+    rows = slots.select("cluster", "slot", "node", "set", F.lit(None).cast("array<long>").alias("common")).unionByName(heads)
+    dealt = rows.repartition("cluster", "slot").sortWithinPartitions("cluster", "slot", F.col("node").asc_nulls_first())
+
+    def first_of(batches):
+        for t in whole_runs(batches, 2):
+            common = np.zeros(0, np.uint64)
+            out: list[tuple[int, int, np.ndarray]] = []
+            for cluster, node, own, head in zip(*(t.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if node is None:
+                    common = np.array(head or [], np.int64).view(np.uint64)
+                    order = np.argsort(common)
+                    continue
+                own = np.frombuffer(own, np.uint64)
+                at = np.searchsorted(common[order], own)
+                place = np.zeros(len(own), np.int64)
+                if len(common):
+                    at = order[np.minimum(at, len(common) - 1)]
+                    place = np.where(common[at] == own, at + 1, 0)
+                count = len(own) - -(-percent * len(own) // 100) + 1
+                out.append((cluster, node, own[np.lexsort((own, place))[:count]]))
+            sizes = [len(x[2]) for x in out]
+            columns = [np.repeat([x[0] for x in out], sizes).astype(np.int64), np.concatenate([x[2] for x in out] or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat([x[1] for x in out], sizes).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "token", "node"])
+
+    return dealt.mapInArrow(first_of, "cluster long, token long, node long")
+
+
+def narrowed(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets(cluster, blocks, node, set)`` with its large clusters split where no link can be; members
+    that can have none are left out."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > LARGE).select("cluster"))
+    if large.isEmpty():
+        return sets
+    slots = stored(_in_blocks(sets.join(large, "cluster", "left_semi")), "slots")
+    tokens = stored(_rarest(slots, _common(slots), percent), "rarest")
+    several = tokens.groupBy("cluster", "token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("cluster", "token", "a")
+    edges = tokens.join(several, ["cluster", "token"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    labels = components(edges)
+    parts = slots.select("node", "set").join(labels, "node").select(F.col("component").alias("cluster"), "node", "set")
+    blocks = parts.groupBy("cluster").agg(blocks_of(F.count("*"), parallelism(sets.sparkSession), F.sum(F.octet_length("set") / 8)).alias("blocks"))
+    split = parts.join(cut(blocks), "cluster").select("cluster", "blocks", "node", "set")
+    return stored(sets.join(large, "cluster", "left_anti").unionByName(split), "sets")
+
+
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Stars (a, b) of what links join among the members (cluster, low, high, block, node, set) of each pair
+    of blocks; a member of block low meets those of block high."""
 
     def compare(batches):
         for t in whole_runs(batches, 3):
@@ -342,7 +427,43 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
                 label[a:b] = a + linked(own, block[a:b] == low[a:b], block[a:b] == high[a:b], percent) if b - a > 1 else a
             yield _stars(node, label)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    columns = dealt.select("cluster", "low", "high", "block", "node", "set")
+    return columns.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(compare, "a long, b long")
+
+
+def verified(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the members of each cluster of ``sets(cluster, blocks, node, set)``,
+    verified on the full sets; of each group of members that are compared, stars of what they join.
+
+    The members of a large cluster first meet within their slots, its smallest member in all of them.
+    Then those outside of the component that holds most of it meet one another and all others: these are
+    copied as often as the former fill slots, not as often as the cluster does."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("_n"), F.min("node").alias("_a"))
+    large = cut(sizes.filter(F.col("_n") > LARGE))
+    few = in_pairs(sets.join(large.select("cluster"), "cluster", "left_anti"), "cluster").select("cluster", "low", "high", "block", "node", "set")
+    edges = _compared(few, percent)
+    if large.isEmpty():
+        return edges
+    edges = cut(edges)
+    slots = stored(_in_blocks(sets.join(large.select("cluster"), "cluster", "left_semi")), "slots")
+    every = F.sequence(F.lit(0), F.ceil(F.col("_n") / LARGE).cast("int") - 1)
+    own = F.when(F.col("node") == F.col("_a"), every).otherwise(F.array("slot"))
+    met = slots.join(large.select("cluster", "_a"), "cluster").withColumn("block", F.explode(own)).withColumns({"low": F.col("block"), "high": F.col("block")})
+    first = cut(_compared(met, percent).distinct())
+
+    placed = slots.select("cluster", "node").join(components(first), "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    homes = placed.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
+    placed = cut(placed.join(homes, "cluster").select("cluster", "node", (F.col("component") == F.col("home")).alias("inner")))
+    counts = placed.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count_if("inner") / LARGE)).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("inner")) / LARGE).cast("int").alias("outs")).filter("outs > 0")
+    rows = slots.select("cluster", "node", "set").join(cut(counts), "cluster").join(placed.select("node", "inner"), "node")
+    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    block = F.when(F.col("inner"), -1 - F.pmod(F.xxhash64("node"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("outs", F.lit(1)))).cast("int")
+    others, inners = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("homes") - 1)
+    of_inner = F.transform(others, lambda o: pair(o, F.col("block")))
+    of_outer = F.concat(F.transform(inners, lambda h: pair(F.col("block"), -1 - h)), F.transform(others, lambda o: pair(F.least("block", o), F.greatest("block", o))))
+    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(F.when(F.col("inner"), of_inner).otherwise(of_outer)))
+    more = _compared(dealt.select("cluster", "pair.low", "pair.high", "block", "node", "set"), percent)
+    return edges.unionByName(first).unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -379,7 +500,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     bands = banded(classes)
     counts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1")
     clusters = plausible(cut(bands.join(counts, "key")), classes, percent / 100)
-    edges = cut(verified(_sets(docs, classes, clusters, width), percent))
+    edges = cut(verified(narrowed(_sets(docs, classes, clusters, width), percent), percent))
     return rows.select("doc_id", "n_shingles", F.col("digest").alias("node")), components(edges)
 
 

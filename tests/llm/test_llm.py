@@ -530,3 +530,33 @@ def test_edited_texts_of_one_id(spark, monkeypatch):
     sizes = [r["n"] for r in spark.read.parquet(*{f for f in out.inputFiles()}).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 150
 
+
+
+def test_large_clusters_are_narrowed(spark, monkeypatch):
+    """Texts that share boilerplate at a similarity under the threshold, links among them, and a group of
+    copies that is large in itself: components as by all pairs, with few sets compared."""
+    monkeypatch.setattr(near_dedup, "LARGE", 64)
+    rng = np.random.default_rng(8)
+    common = [f"b{i}" for i in range(160)]
+    own = lambda k: [f"u{rng.integers(1 << 40)}" for _ in range(k)]
+    texts = [" ".join(common + own(40)) for _ in range(700)]  # about 0.66 of each other
+    texts += [" ".join(t.split()[:-2] + own(2)) for t in texts[::70]]
+    base = [f"c{i}" for i in range(120)]
+    for _ in range(300):  # copies of one text: most are joined within their slots, some only through others
+        changed = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            changed[at] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(changed))
+    sets = [set(near_dedup.shingles_of(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    kept = []
+    narrowed = near_dedup.narrowed
+    monkeypatch.setattr(near_dedup, "narrowed", lambda s, percent: kept.append((s.count(), narrowed(s, percent))) or kept[-1][1])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    before, after = kept[0][0], kept[0][1].count()
+    assert before > 900 and after < 400  # the boilerplate's texts but for the ten links are out
