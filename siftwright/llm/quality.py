@@ -70,6 +70,28 @@ class Network:
         return float(pooled.max(0) @ self.out[:FILTERS] + pooled.mean(0) @ self.out[FILTERS:] + self.shift[0])
 
 
+def gradients(net: Network, own: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted mean log loss over documents, each with its chunks, by each of the network's parts;
+    with half of DECAY times the squared length of ``out``."""
+    chunks, doc = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    pooled, where = net.pooled(chunks)
+    starts = np.searchsorted(doc, np.arange(len(own)))
+    counts = np.diff([*starts, len(doc)])[:, None]
+    top = np.maximum.reduceat(pooled, starts)
+    avg = np.add.reduceat(pooled, starts) / counts
+    feats = np.concatenate([top, avg], 1)
+    p = 1 / (1 + np.exp(-np.clip(feats @ net.out + net.shift[0], -30, 30)))
+    dz = w * (p - y) / w.sum()
+    dfeat = dz[:, None] * net.out
+    is_top = pooled >= top[doc]
+    dpool = (is_top * dfeat[doc, :FILTERS] + (dfeat[:, FILTERS:] / counts)[doc]) * (pooled > 0)
+    grads = [np.zeros_like(net.weights), dpool.sum(0), feats.T @ dz + DECAY * net.out, dz.sum(keepdims=True)]
+    rows = np.arange(len(chunks))[:, None]
+    for k in range(WIDTH):
+        np.add.at(grads[0][k], (chunks[rows, where + k], np.arange(FILTERS)), dpool)
+    return grads
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float]) -> Network:
     """Trains by Adam on weighted log loss, each step over all chunks of its documents, as scores are
     taken. Deterministic for given rows in given order."""
@@ -83,23 +105,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Network:
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             picked = order[at : at + BATCH]
-            own = [docs[i] for i in picked]
-            chunks, doc = np.concatenate(own), np.repeat(np.arange(len(picked)), [len(x) for x in own])
-            pooled, where = net.pooled(chunks)
-            starts = np.searchsorted(doc, np.arange(len(picked)))
-            counts = np.diff([*starts, len(doc)])[:, None]
-            top = np.maximum.reduceat(pooled, starts)
-            avg = np.add.reduceat(pooled, starts) / counts
-            feats = np.concatenate([top, avg], 1)
-            p = 1 / (1 + np.exp(-np.clip(feats @ net.out + net.shift[0], -30, 30)))
-            dz = w[picked] * (p - y[picked]) / w[picked].sum()
-            dfeat = dz[:, None] * net.out
-            is_top = pooled >= top[doc]
-            dpool = (is_top * dfeat[doc, :FILTERS] + (dfeat[:, FILTERS:] / counts)[doc]) * (pooled > 0)
-            grads = [np.zeros_like(net.weights), dpool.sum(0), feats.T @ dz + DECAY * net.out, dz.sum(keepdims=True)]
-            rows = np.arange(len(chunks))[:, None]
-            for k in range(WIDTH):
-                np.add.at(grads[0][k], (chunks[rows, where + k], np.arange(FILTERS)), dpool)
+            grads = gradients(net, [docs[i] for i in picked], y[picked], w[picked])
             t += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
             for part, g, m, s in zip(net.parts, grads, mean, square):

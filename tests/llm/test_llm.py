@@ -560,3 +560,28 @@ def test_large_clusters_are_narrowed(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == label
     before, after = kept[0][0], kept[0][1].count()
     assert before > 900 and after < 400  # the boilerplate's texts but for the ten links are out
+
+
+def test_gradients_by_differences():
+    """Each part's gradient against differences of the loss, in double precision, where no maximum changes."""
+    rng = np.random.default_rng(9)
+    net = quality.Network(rng)
+    net.weights, net.bias, net.out = net.weights.astype(np.float64), rng.normal(0, 0.1, quality.FILTERS), net.out.astype(np.float64) * 5
+    net.shift = np.array([0.2])
+    docs = [quality.chunks_of(bytes(rng.integers(97, 110, n, dtype=np.uint8))) for n in (40, 900, 2500, 5)]
+    y, w = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        z = np.array([net.logit(net.pooled(d)[0]) for d in docs])
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() / w.sum() + quality.DECAY / 2 * (net.out**2).sum())
+
+    for part, g in zip(net.parts, quality.gradients(net, docs, y, w)):
+        flat, own = part.reshape(-1), np.asarray(g).reshape(-1)
+        for i in {*np.argsort(-np.abs(own))[:6].tolist(), *rng.integers(0, len(flat), 3).tolist()}:
+            kept, step = flat[i], 1e-6
+            flat[i] = kept + step
+            up = loss()
+            flat[i] = kept - step
+            down = loss()
+            flat[i] = kept
+            assert abs((up - down) / (2 * step) - own[i]) < 1e-5, (i, own[i])
