@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwright.functions.shared import shared_dir, stored
+from siftwright.functions.shared import fresh_path, shared_dir, stored
 
-__all__ = ["crc_of", "cut", "keep_texts", "map_texts", "parallelism", "shared_dir", "stored", "table", "whole_runs"]
+__all__ = ["crc_of", "cut", "fresh_path", "keep_texts", "map_texts", "parallelism", "shared_dir", "stored", "table", "whole_runs"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwright.llm.common import parallelism, shared_dir, stored, table
+from siftwright.llm.common import fresh_path, parallelism, stored, table
 
 #: Bytes of a chunk, of what is read at once, and of an archive before the next one begins.
 CHUNK, READ, ARCHIVE = 1 << 16, 1 << 16, 1 << 30
@@ -257,7 +257,7 @@ def payloads(chunks: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page, reads the archives back, and reports each record."""
     pages = table(spark, sf_dir, "pages")
-    manifest = write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    manifest = write(pages, fresh_path(spark, "warc"))
     read = read_chunks(manifest, payload=False, kind=dict(pages.dtypes)["page_id"]).filter("last")
     whole = F.col("record_type") == "response"
     return read.select(
