@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siftwright.functions.expressions import seeded_order
 from siftwright.functions.shared import stored
 
-#: Training rows that bound the distances, pivots among them, bytes of a block of queries, rows of a run.
-SAMPLE, PIVOTS, BLOCK_BYTES, RUN = 2048, 32, 1 << 25, 128
+#: Training rows that bound the distances, pivots among them, bytes of a block of queries, rows of a run,
+#: and distances that are measured at once.
+SAMPLE, PIVOTS, BLOCK_BYTES, RUN, PAIRS = 2048, 32, 1 << 25, 128, 1 << 16
 
 _FOUND = "row_id long, near long, label int, d double, measured long"
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
@@ -84,13 +85,18 @@ def _searched(block, k: int):
                 measured += len(open_) * len(run_rows)
                 rough = squares[open_, None] + (run_rows**2).sum(1)[None] - 2 * queries[open_] @ run_rows.T
                 some = rough <= ((limit[open_] + slack) ** 2)[:, None]
-                for i in np.flatnonzero(some.any(1)):
-                    q, few = open_[i], np.flatnonzero(some[i])
-                    d = np.concatenate([best_d[q], ((run_rows[few] - queries[q]) ** 2).sum(1)])
-                    which, what = np.concatenate([best_id[q], near[at + few]]), np.concatenate([best_label[q], label[at + few]])
-                    kept = np.lexsort((which, d))[:k]
-                    best_d[q], best_id[q], best_label[q] = d[kept], which[kept], what[kept]
-                    limit[q] = min(limit[q], np.sqrt(best_d[q, -1]))
+                asked, met = np.nonzero(some)
+                for part in range(0, len(asked), PAIRS):
+                    q, r = open_[asked[part : part + PAIRS]], met[part : part + PAIRS]
+                    touched = np.unique(q)
+                    whose = np.concatenate([np.repeat(touched, k), q])
+                    d = np.concatenate([best_d[touched].ravel(), ((run_rows[r] - queries[q]) ** 2).sum(1)])
+                    which, what = np.concatenate([best_id[touched].ravel(), near[at + r]]), np.concatenate([best_label[touched].ravel(), label[at + r]])
+                    order = np.lexsort((which, d, whose))
+                    first = np.searchsorted(whose[order], touched)
+                    kept = order[first[:, None] + np.arange(k)]
+                    best_d[touched], best_id[touched], best_label[touched] = d[kept], which[kept], what[kept]
+                    limit[touched] = np.minimum(limit[touched], np.sqrt(best_d[touched, -1]))
         q, place = np.nonzero(np.isfinite(best_d))
         columns = [ids[q], best_id[q, place], best_label[q, place], best_d[q, place], np.zeros(len(q), np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)

@@ -76,9 +76,9 @@ def label_blocks(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def by_subject(rows: DataFrame) -> DataFrame:
-    """A client per subject, in sorted order; the distinct subjects are few."""
-    known = rows.select("subject").distinct().withColumn("client", (F.row_number().over(Window.orderBy("subject")) - 1).cast("long"))
-    return rows.join(F.broadcast(known), "subject")
+    """A client per subject, in sorted order; rows without subject have none and are left out."""
+    known = global_rank(rows.select("subject").filter("subject IS NOT NULL").distinct(), "subject", name="client")
+    return rows.join(known, "subject")
 
 
 def assign(rows: DataFrame, strategy: str, clients: int, unevenness: float = 0.0, seed: int = 0) -> DataFrame:
