@@ -41,11 +41,10 @@ def release(spark: SparkSession) -> None:
     the results that were made of it have been written; a result that is still to be computed needs it."""
     checkpoints = spark.sparkContext.getCheckpointDir()  # a folder of this application alone
     for path in [*_made.pop(spark.sparkContext.applicationId, []), *([checkpoints] if checkpoints else [])]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        system.delete(place, True)
-        if path == checkpoints:
-            system.mkdirs(place)
+        delete(spark, path)
+    if checkpoints:
+        place = spark._jvm.org.apache.hadoop.fs.Path(checkpoints)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
@@ -57,6 +56,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(of(path)) if f.isDirectory() and system.exists(of(f"{path}/{f.getPath().getName()}/_SUCCESS")))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a lost executor costs no
     recomputation of what came before."""

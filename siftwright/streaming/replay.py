@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from siftwright.functions.shared import folders, fresh_path
+from siftwright.functions.shared import delete, folders, fresh_path
 
+#: Batches after which a keyed table is compacted.
+EVERY = 32
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -60,16 +62,20 @@ class Changes:
     batch is replayed.
 
     A batch is a folder named by its number, written whole or not at all for readers; the table's
-    state is each key's row of the largest number. ``compact`` writes the state as a snapshot, which
-    stands for all batches up to its number; such a batch, replayed, is let go.
+    state is each key's row of the largest number. ``compact``, which every so many batches call, writes
+    the state as a snapshot, which stands for all batches up to its number; such a batch, replayed, is let
+    go. What the snapshot before it stood for is deleted then: a reader has until the next one.
     """
 
     def __init__(self, spark: SparkSession, path: str, *keys: str):
         self.spark, self.path, self.keys = spark, path, keys
 
     def write(self, batch: DataFrame, number: int) -> None:
-        if number > self.snapshot():
+        last = self.snapshot()
+        if number > last:
             batch.write.mode("overwrite").parquet(f"{self.path}/batches/{number}")
+            if self.keys and number - last > EVERY:
+                self.compact()
 
     def snapshot(self) -> int:
         return max((int(n) for n in folders(self.spark, f"{self.path}/snapshots")), default=-1)
@@ -95,6 +101,9 @@ class Changes:
         return self.spark.read.parquet(f"{self.path}/batches/{max(known)}") if known else None
 
     def compact(self) -> None:
-        known = [int(n) for n in folders(self.spark, f"{self.path}/batches")]
-        if known and max(known) > self.snapshot():
+        known, before = [int(n) for n in folders(self.spark, f"{self.path}/batches")], self.snapshot()
+        if known and max(known) > before:
             self.state().write.mode("overwrite").parquet(f"{self.path}/snapshots/{max(known)}")
+            for what, numbers in (("batches", [n for n in known if n <= before]), ("snapshots", [int(n) for n in folders(self.spark, f"{self.path}/snapshots") if int(n) < before])):
+                for n in numbers:
+                    delete(self.spark, f"{self.path}/{what}/{n}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwright.functions.shared import folders
+from siftwright.functions.shared import delete, folders
 from siftwright.operators.information import mutual_information, shares
 
 CELL = ("feature", "bin", "y")
@@ -26,8 +26,8 @@ class CountStore:
     Each change makes a new version of the tables, out of the last one and the contribution alone, and
     then of the ledger, whose writing commits it. A contribution whose name the ledger holds is let go,
     so one that is sent again, or a batch that is replayed, changes nothing. A version is as large as
-    the grid of clients, features, bins and classes, however many rows were counted. One writer at a
-    time.
+    the grid of clients, features, bins and classes, however many rows were counted; the last two are
+    kept. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -60,6 +60,8 @@ class CountStore:
         entry = self.spark.createDataFrame([(name, client)], "name string, client long")
         for what, table in (("clients", clients), ("pooled", pooled), ("sizes", sizes), ("ledger", self.ledger().unionByName(entry))):
             table.write.mode("overwrite").parquet(f"{self.path}/{what}/{version}")
+        for what in ("ledger", "clients", "pooled", "sizes"):
+            delete(self.spark, f"{self.path}/{what}/{version - 2}")
 
     def taken(self, name: str) -> bool:
         return bool(self.ledger().filter(F.col("name") == name).head(1))

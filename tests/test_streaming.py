@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright.functions.shared import fresh_path
+from siftwright.functions.shared import folders, fresh_path
 from siftwright.operators import counts as C, information as I
 from siftwright.streaming import replay, rounds, tables
 
@@ -56,6 +56,17 @@ def test_changes_replayed_and_compacted(spark):
     log.write(of(("b", 5)), 2)
     log.compact()
     assert state() == want | {"b": 5} and log.snapshot() == 2
+    log.write(of(("d", 1)), 3)
+    log.compact()
+    assert state() == want | {"b": 5, "d": 1} and folders(spark, f"{log.path}/batches") == ["3"] and folders(spark, f"{log.path}/snapshots") == ["2", "3"]
+
+
+def test_changes_are_compacted_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(replay, "EVERY", 3)
+    log = replay.Changes(spark, fresh_path(spark, "log"), "k")
+    for n in range(10):
+        log.write(spark.createDataFrame([("last", n), (f"k{n}", n)], "k string, v int"), n)
+    assert log.snapshot() == 7 and {r["k"]: r["v"] for r in log.state().collect()} == {"last": 9, **{f"k{n}": n for n in range(10)}}
 
 
 def test_running_counts_in_update_mode(spark):
@@ -102,6 +113,7 @@ def test_count_store(spark):
     same(rows.filter("client = 0 OR client = 2 AND part = 0"))
     assert store.add("1 is back", rows.filter("client = 1"))
     same(rows.filter("client <> 2 OR part = 0"))
+    assert len(folders(spark, f"{store.path}/clients")) == 2
     assert [r["name"] for r in store.ledger().orderBy("name").collect()] == ["1 is back", "1 leaves", "2 again", "part 0", "part 1", "part 2"]
 
 
