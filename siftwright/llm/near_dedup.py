@@ -239,12 +239,30 @@ def in_pairs(members: DataFrame, group: str) -> DataFrame:
     return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
+def outsiders_meet(members: DataFrame, group: str, parts: int) -> DataFrame:
+    """``members(group, node, component, ...)`` with low, high and block, so that of each group those outside
+    of the component that holds most of it meet one another and all others: a member of block ``low`` is to be
+    compared with those of block ``high``. The others, in blocks below 0, are copied as often as the outsiders
+    fill blocks, not as often as the group does. Groups of one component are left out."""
+    homes = members.groupBy(group, "component").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    known = cut(homes.filter("n > inside").select(group, "home", blocks_of(F.col("inside"), parts).alias("homes"), blocks_of(F.col("n") - F.col("inside"), parts).alias("outs")))
+    inner = F.col("component") == F.col("home")
+    block = F.when(inner, -1 - F.pmod(F.xxhash64("node"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outs"))).cast("int")
+    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    outs, insides = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("homes") - 1)
+    of_inner = F.transform(outs, lambda o: pair(o, F.col("block")))
+    of_outer = F.concat(F.transform(insides, lambda h: pair(F.col("block"), -1 - h)), F.transform(outs, lambda o: pair(F.least("block", o), F.greatest("block", o))))
+    placed = members.join(known, group).withColumns({"block": block, "_inner": inner})
+    dealt = placed.withColumn("pair", F.explode(F.when(F.col("_inner"), of_inner).otherwise(of_outer)))
+    return dealt.withColumns({"low": F.col("pair.low"), "high": F.col("pair.high")}).drop("pair", "home", "homes", "outs", "_inner")
+
+
 def plausible(bands: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(node, cluster): classes joined by pairs that share a band and whose estimate is not far
     below ``least``; ``bands(key, node, a, n)`` has the members of bands with several.
 
     First each band's members meet in blocks of about BLOCK, its smallest member ``a`` in all of
-    them. Then the blocks of larger bands that still hold several clusters meet each other.
+    them. Then, in larger bands that still hold several clusters, the members outside of the largest meet all.
     """
     parts = parallelism(bands.sparkSession)
     sides = classes.select("node", "sketch", "n_shingles")
@@ -263,10 +281,11 @@ def plausible(bands: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     large = bands.filter(F.col("n") > BLOCK).select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = cut(large.join(several, "key", "left_semi").select("key", "node", "component", blocks_of(F.col("n"), parts).alias("blocks")))
+    rest = cut(large.join(several, "key", "left_semi").select("key", "node", "component"))
     if rest.isEmpty():
         return labels
-    across = in_pairs(rest.join(sides, "node"), "key").select("key", "low", "high", "block", "node", "component", "sketch", "n_shingles")
+    dealt = outsiders_meet(rest, "key", parts).join(sides, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    across = dealt.select("key", "low", "high", "block", "node", "component", "sketch", "n_shingles")
 
     def meet_across(batches):
         for t in whole_runs(batches, 3):
@@ -452,17 +471,8 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     first = cut(_compared(met, percent).distinct())
 
     placed = slots.select("cluster", "node").join(components(first), "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
-    homes = placed.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
-    placed = cut(placed.join(homes, "cluster").select("cluster", "node", (F.col("component") == F.col("home")).alias("inner")))
-    counts = placed.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count_if("inner") / LARGE)).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("inner")) / LARGE).cast("int").alias("outs")).filter("outs > 0")
-    rows = slots.select("cluster", "node", "set").join(cut(counts), "cluster").join(placed.select("node", "inner"), "node")
-    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-    block = F.when(F.col("inner"), -1 - F.pmod(F.xxhash64("node"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("outs", F.lit(1)))).cast("int")
-    others, inners = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("homes") - 1)
-    of_inner = F.transform(others, lambda o: pair(o, F.col("block")))
-    of_outer = F.concat(F.transform(inners, lambda h: pair(F.col("block"), -1 - h)), F.transform(others, lambda o: pair(F.least("block", o), F.greatest("block", o))))
-    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(F.when(F.col("inner"), of_inner).otherwise(of_outer)))
-    more = _compared(dealt.select("cluster", "pair.low", "pair.high", "block", "node", "set"), percent)
+    dealt = outsiders_meet(cut(placed), "cluster", parallelism(sets.sparkSession)).select("cluster", "low", "high", "block", "node")
+    more = _compared(dealt.join(slots.select("node", "set"), "node"), percent)
     return edges.unionByName(first).unionByName(more)
 
 
