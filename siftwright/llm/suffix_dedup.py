@@ -229,16 +229,20 @@ def _finer(least: int, width: int):
     return run
 
 
+def _recurring(pieces: DataFrame) -> DataFrame:
+    """The pieces whose keys occur more than once, a small part of all: only keys are counted for it, before
+    the shuffle."""
+    keys = pieces.groupBy("key").agg(F.sum("n").alias("_n")).filter("_n > 1").select("key")
+    return stored(pieces.join(keys, "key", "left_semi").select(*_NAMES), "dedup-recurring")
+
+
 def _kinds(pieces: DataFrame) -> DataFrame:
-    """A row per kind of piece that repeats or has others beside it under its key: one place of it,
-    how many occurrences (n), how many kinds its key has, and how many of these occur once. Counted
-    before the shuffle, so copies and common keys meet as counts."""
+    """A row per kind of piece: one place of it, how many occurrences (n), how many kinds its key has, and
+    how many of these occur once. Counted before the shuffle, so copies and common keys meet as counts."""
     of = F.struct("text_id", "first", "last", "anchor")
     kinds = stored(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(of).alias("at")), "dedup-kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).filter("kinds > 1")
-    beside = kinds.join(keys, "key")
-    alone = kinds.filter("n > 1").join(keys, "key", "left_anti").withColumns({"kinds": F.lit(1).cast("long"), "lone": F.lit(0).cast("long")})
-    return stored(beside.unionByName(alone).select("key", "digest", "n", "at.*", "kinds", "lone"), "dedup-repeats")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone"))
+    return stored(kinds.join(keys, "key").select("key", "digest", "n", "at.*", "kinds", "lone"), "dedup-repeats")
 
 
 def _with_bytes(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -305,6 +309,7 @@ def _marks(texts: DataFrame, least: int) -> DataFrame:
     marks = pieces.filter("key IS NULL").select("text_id", "first", "last")
     pieces = pieces.filter("key IS NOT NULL")
     for width in (*FINER, 0):
+        pieces = _recurring(pieces)
         kinds = _kinds(pieces)
         repeats = kinds.filter("n > 1").select("key", "digest")
         marks = marks.unionByName(pieces.filter("n = 1").join(repeats, ["key", "digest"]).select("text_id", "first", "last"))
