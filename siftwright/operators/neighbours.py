@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siftwright.functions.expressions import seeded_order
 from siftwright.functions.shared import stored
 
-#: Training rows that bound the distances, pivots among them, bytes of a block of queries, rows of a run,
-#: and distances that are measured at once.
-SAMPLE, PIVOTS, BLOCK_BYTES, RUN, PAIRS = 2048, 32, 1 << 25, 128, 1 << 16
+#: Training rows that bound the distances, pivots among them, bytes of a block of queries with all that
+#: a task keeps for them, rows of a run, queries that meet a run at once, and distances that are
+#: measured at once.
+SAMPLE, PIVOTS, BLOCK_BYTES, RUN, SLICE, PAIRS = 2048, 32, 1 << 25, 128, 4096, 1 << 16
 
 _FOUND = "row_id long, near long, label int, d double, measured long"
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
@@ -58,48 +59,58 @@ def _placed(pivots: np.ndarray):
 
 def _searched(block, k: int):
     """A task's k nearest rows for each query of the block, and, in a row without query, how many
-    distances it has measured."""
+    distances it has measured. Besides the block, it holds what a slice of queries and a run need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, pivots, bound = block.value
-        from_pivots = _distances(queries, pivots)
+        slices = [slice(a, a + SLICE) for a in range(0, len(ids), SLICE)]
+        from_pivots = np.empty((len(ids), len(pivots)))
+        for part in slices:
+            from_pivots[part] = _distances(queries[part], pivots)
         slack = 1e-6 * (1 + from_pivots.max(initial=0.0))
         limit = bound.copy()
         best_d = np.full((len(ids), k), np.inf)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best_label = np.zeros((len(ids), k), np.int32)
-        squares = (queries**2).sum(1)
+        squares = np.einsum("ij,ij->i", queries, queries)
         measured = 0
+
+        def meet(part, near, label, rows, low, high):
+            reach = (limit[part] + slack)[:, None]
+            open_ = part.start + np.flatnonzero(((from_pivots[part] - reach <= high) & (from_pivots[part] + reach >= low)).all(1))
+            if not len(open_):
+                return 0
+            rough = queries[open_] @ rows.T
+            rough *= -2
+            rough += squares[open_, None]
+            rough += (rows**2).sum(1)[None]
+            asked, met = np.nonzero(rough <= ((limit[open_] + slack) ** 2)[:, None])
+            for at in range(0, len(asked), PAIRS):
+                q, r = open_[asked[at : at + PAIRS]], met[at : at + PAIRS]
+                touched = np.unique(q)
+                whose = np.concatenate([np.repeat(touched, k), q])
+                d = np.concatenate([best_d[touched].ravel(), ((rows[r] - queries[q]) ** 2).sum(1)])
+                which, what = np.concatenate([best_id[touched].ravel(), near[r]]), np.concatenate([best_label[touched].ravel(), label[r]])
+                order = np.lexsort((which, d, whose))
+                first = np.searchsorted(whose[order], touched)
+                kept = order[first[:, None] + np.arange(k)]
+                best_d[touched], best_id[touched], best_label[touched] = d[kept], which[kept], what[kept]
+                limit[touched] = np.minimum(limit[touched], np.sqrt(best_d[touched, -1]))
+            return len(open_) * len(rows)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             near, label, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _vectors(batch.column(2))
-            away = _distances(rows, pivots)
             for at in range(0, len(near), RUN):
-                run_rows, run_away = rows[at : at + RUN], away[at : at + RUN]
-                low, high = run_away.min(0), run_away.max(0)
-                reach = (limit + slack)[:, None]
-                open_ = np.flatnonzero(((from_pivots - reach <= high) & (from_pivots + reach >= low)).all(1))
-                if not len(open_):
-                    continue
-                measured += len(open_) * len(run_rows)
-                rough = squares[open_, None] + (run_rows**2).sum(1)[None] - 2 * queries[open_] @ run_rows.T
-                some = rough <= ((limit[open_] + slack) ** 2)[:, None]
-                asked, met = np.nonzero(some)
-                for part in range(0, len(asked), PAIRS):
-                    q, r = open_[asked[part : part + PAIRS]], met[part : part + PAIRS]
-                    touched = np.unique(q)
-                    whose = np.concatenate([np.repeat(touched, k), q])
-                    d = np.concatenate([best_d[touched].ravel(), ((run_rows[r] - queries[q]) ** 2).sum(1)])
-                    which, what = np.concatenate([best_id[touched].ravel(), near[at + r]]), np.concatenate([best_label[touched].ravel(), label[at + r]])
-                    order = np.lexsort((which, d, whose))
-                    first = np.searchsorted(whose[order], touched)
-                    kept = order[first[:, None] + np.arange(k)]
-                    best_d[touched], best_id[touched], best_label[touched] = d[kept], which[kept], what[kept]
-                    limit[touched] = np.minimum(limit[touched], np.sqrt(best_d[touched, -1]))
-        q, place = np.nonzero(np.isfinite(best_d))
-        columns = [ids[q], best_id[q, place], best_label[q, place], best_d[q, place], np.zeros(len(q), np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+                span = slice(at, at + RUN)
+                away = _distances(rows[span], pivots)
+                measured += sum(meet(part, near[span], label[span], rows[span], away.min(0), away.max(0)) for part in slices)
+        for part in slices:
+            q, place = np.nonzero(np.isfinite(best_d[part]))
+            q += part.start
+            columns = [ids[q], best_id[q, place], best_label[q, place], best_d[q, place], np.zeros(len(q), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, measured), _TYPES)], names=_NAMES)
 
     return run
@@ -121,7 +132,8 @@ def prepared(train: DataFrame, k: int = 5) -> Search:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = ready.mapInArrow(_placed(pivots), "near long, label int, features array<double>, cell int, away double")
     line = stored(line.repartitionByRange(parts, "cell", "away", "near").sortWithinPartitions("cell", "away").select("near", "label", "features"), "train")
-    most, own = max(1, BLOCK_BYTES // (8 * sample.shape[1] + 24 * k)), min(k, len(sample)) - 1
+    kept = 8 * (sample.shape[1] + len(pivots)) + 20 * k + 32  # a query, its distances from pivots, its k rows, its id, square and bounds
+    most, own = max(1, BLOCK_BYTES // kept), min(k, len(sample)) - 1
 
     def search(held: list[tuple]) -> DataFrame:
         ids, queries = np.array([h[0] for h in held]), np.array([h[1] for h in held])

@@ -1,6 +1,10 @@
 """Pruned nearest neighbours against all distances."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwright.operators import neighbours
@@ -47,3 +51,28 @@ def test_no_rows(spark):
     assert neighbours.nearest(none, some)[0].count() == 0
     best, measured = neighbours.nearest(some, none)
     assert best.count() == 0 and measured.count() == 0
+
+
+def test_slices_of_queries(spark, monkeypatch):
+    """A query's rows do not depend on which others meet a run with it."""
+    monkeypatch.setattr(neighbours, "SLICE", 7)
+    rng = np.random.default_rng(4)
+    test, train = rng.integers(0, 4, (60, 3)), rng.integers(0, 4, (300, 3))
+    best, _ = neighbours.nearest(table(spark, test), table(spark, train, 1000))
+    assert {(r["row_id"], r["near"]) for r in best.collect()} == brute(test, train, 5, 1000)
+
+
+def test_a_task_holds_little_beside_its_block():
+    """Unit vectors without structure, where no distance is left out: a run meets all queries."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(21000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    queries, rows, pivots = x[:20000], x[20000:], x[20000:20032]
+    block = SimpleNamespace(value=(np.arange(20000), queries, pivots, np.full(20000, 1.2)))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, 64, dtype=np.int32)), pa.array(rows.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), pa.array(np.zeros(1000, np.int32)), lists], names=["near", "label", "features"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in neighbours._searched(block, 5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 90000 and peak < 30 << 20
