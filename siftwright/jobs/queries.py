@@ -32,10 +32,6 @@ def emb_bins(spark, d):
     return prep.discretize(emb(spark, d), BINS)
 
 
-def li_bins(spark, d):
-    return prep.discretize(li(spark, d), BINS)
-
-
 def long_bins(rows, *ids):
     return rows.select(*ids, F.posexplode("bins").alias("feature", "bin"))
 
@@ -129,7 +125,7 @@ def mi_pair(spark, d):
 
 
 def site_pair_probs(spark, d):
-    rows = li_bins(spark, d)
+    rows = li(spark, d)
     return C.probabilities(C.pair_counts(rows, 0, "client", bins=BINS), rows).select("client", "k", "j", "bin_k", "bin_j", "y", *_r("p"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwright.functions.shared import stored
-from siftwright.operators.prep import binned_values
+from siftwright.operators.prep import binned_pairs, binned_values
 
 #: Rows of more features than this are counted in blocks.
 WIDE = 200
@@ -26,8 +26,11 @@ def _by_rows(rows: DataFrame, by: tuple[str, ...], j: int | None) -> DataFrame:
     long = rows.select(*by, "y", *other, F.posexplode_outer("bins").alias("feature", "bin")).filter("bin IS NOT NULL AND y IS NOT NULL")
     if j is None:
         return long.groupBy(*by, "feature", "bin", "y").agg(F.count("*").alias("c"))
-    long = long.filter((F.col("feature") != j) & F.col("bin_j").isNotNull())
-    return long.groupBy(*by, F.col("feature").alias("k"), F.lit(j).alias("j"), F.col("bin").alias("bin_k"), "bin_j", "y").agg(F.count("*").alias("c"))
+    return _pairs(long.filter("bin_j IS NOT NULL"), by, j)
+
+
+def _pairs(long: DataFrame, by: tuple[str, ...], j: int) -> DataFrame:
+    return long.filter(F.col("feature") != j).groupBy(*by, F.col("feature").alias("k"), F.lit(j).alias("j"), F.col("bin").alias("bin_k"), "bin_j", "y").agg(F.count("*").alias("c"))
 
 
 def _by_blocks(rows: DataFrame, by: tuple[str, ...], j: int | None, bins: int) -> DataFrame:
@@ -142,7 +145,12 @@ def joint_counts(rows: DataFrame, *by: str, bins: int = 5, blocks: bool | None =
 
 def pair_counts(rows: DataFrame, j: int, *by: str, bins: int = 5, blocks: bool | None = None) -> DataFrame:
     """(by..., k, j, bin_k, bin_j, y, c) of every other feature k with feature ``j``: no join, as
-    both bins stand in one row."""
+    both bins stand in one row. Rows that have ``features`` and no bins yet are discretized as in
+    ``joint_counts``."""
+    if "bins" not in rows.columns:
+        if _wide(rows, blocks, "features"):
+            return _by_blocks(with_bins(rows.select(*by, "y", "features"), bins), by, j, bins)
+        return _pairs(binned_pairs(rows, j, bins, (*by, "y")).filter("bin IS NOT NULL AND y IS NOT NULL"), by, j)
     return _by_blocks(rows, by, j, bins) if _wide(rows, blocks) else _by_rows(rows, by, j)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftwright.functions.expressions import bin_of
+from siftwright.functions.shared import stored
 from siftwright.operators import order
 from siftwright.operators.sites import global_rank
 
@@ -118,6 +119,15 @@ def binned_values(rows: DataFrame, bins: int = 5, ranges: DataFrame | None = Non
     return long.join(known, "feature", "left").select(*keep, "feature", bin_of(F.col("x"), F.col("mn"), F.col("mx"), bins).alias("bin"))
 
 
+def binned_pairs(rows: DataFrame, j: int, bins: int = 5, keep: tuple[str, ...] = ("y",)) -> DataFrame:
+    """(keep..., feature, bin, bin_j): a row per value with the bin of place ``j`` of its row, which is
+    worked out once a row; otherwise as ``binned_values``, over the data's own ranges."""
+    known = stored(extremes(rows), "ranges")
+    of_j = known.filter(F.col("feature") == j).select(F.col("mn").alias("_mn"), F.col("mx").alias("_mx"))
+    near = rows.join(F.broadcast(of_j)).withColumn("bin_j", bin_of(F.get("features", F.lit(j)), F.col("_mn"), F.col("_mx"), bins)).filter("bin_j IS NOT NULL")  # one row
+    return binned_values(near, bins, known, (*keep, "bin_j"))
+
+
 def discretize(rows: DataFrame, bins: int = 5, ranges: DataFrame | None = None) -> DataFrame:
     """Adds ``bins``, the equal-width bin of each feature, and drops ``features``.
 

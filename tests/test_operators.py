@@ -50,6 +50,22 @@ def test_blocks_equal_rows(spark):
         assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_pairs_of_raw_rows(spark):
+    """Pairs of rows that are not discretized yet, value by value and in blocks."""
+    rows = spark.createDataFrame([(i % 2, None if i % 11 == 0 else i % 3, [None if i % 7 == 0 else i / 3, -float(i * 5 % 13), None, 2.0]) for i in range(150)], "client long, y int, features array<double>")
+    for j in (0, 1, 2, 3, 4):
+        want = sorted(map(tuple, C.pair_counts(prep.discretize(rows), j, "client", blocks=False).collect()))
+        names = ["client", "k", "j", "bin_k", "bin_j", "y", "c"]
+        for blocks in (False, None, True) if j < 4 else (False, None):
+            assert sorted(map(tuple, C.pair_counts(rows, j, "client", blocks=blocks).select(names).collect())) == want
+        assert bool(want) == (j not in (2, 4))
+    one = C.pair_counts(rows, 0)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, C.pair_counts(prep.discretize(rows), 0, blocks=False).collect()))
+    assert C.pair_counts(rows.limit(0), 0).count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "zip_with" not in plan
+
+
 @pytest.mark.parametrize("occupied, cells", [((0, 1, 4), (0, 0, 2)), ((0, 2, 4), (0, 1, 2)), ((0, 2, 3), (0, 2, 2)), ((0, 3, 4), (0, 2, 2)), ((0, 1, 3, 4), (0, 1, 3, 3)), ((0, 1, 2, 4), (0, 1, 2, 3))])
 def test_gap_merge(spark, occupied, cells):
     counts = spark.createDataFrame([(0, b, i, 1) for i, b in enumerate(occupied)], "feature int, bin int, y int, c long")
