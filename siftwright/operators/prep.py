@@ -16,10 +16,11 @@ def nonnegative_label(rows: DataFrame) -> DataFrame:
 
 def relabel(rows: DataFrame, label: str = "y") -> DataFrame:
     """Labels become their ranks, from 0. The distinct labels are one row each, so the window over
-    them is as large as there are classes; null labels stay null."""
+    them is as large as there are classes, and they travel to the rows: dealt by label, all rows of a
+    class would meet in one task. Null labels stay null."""
     ranks = rows.select(F.col(label).alias("_label")).filter("_label IS NOT NULL").distinct()
     ranks = ranks.withColumn("_rank", F.row_number().over(Window.orderBy("_label")) - 1)
-    out = rows.join(ranks, rows[label] == F.col("_label"), "left")
+    out = rows.join(F.broadcast(ranks), rows[label] == F.col("_label"), "left")
     return out.select(*[F.col("_rank").alias(label) if c == label else rows[c] for c in rows.columns])
 
 

@@ -50,6 +50,19 @@ def test_blocks_equal_rows(spark):
         assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_labels_travel_to_the_rows(spark):
+    """However large a table is, its rows stay where they are as their labels become ranks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 1000, 1, 4).select(F.col("id").alias("row_id"), F.get(F.array(F.lit("R"), F.lit("A"), F.lit("N"), F.lit(None)), (F.col("id") % 4).cast("int")).alias("y"))
+        out = prep.relabel(rows.withColumn("was", F.spark_partition_id())).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(out) == 1000 and all(r["was"] == r["at"] for r in out)
+    assert all(r["y"] == (2, 0, 1, None)[r["row_id"] % 4] for r in out)
+
+
 def test_pairs_of_raw_rows(spark):
     """Pairs of rows that are not discretized yet, value by value and in blocks."""
     rows = spark.createDataFrame([(i % 2, None if i % 11 == 0 else i % 3, [None if i % 7 == 0 else i / 3, -float(i * 5 % 13), None, 2.0]) for i in range(150)], "client long, y int, features array<double>")
